@@ -154,11 +154,9 @@ def doomed(blocks: list[tuple[int, int]]) -> list[int]:
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, th, drop): true at the lines to delete, of each document that has some; th is xxhash64(text)."""
     table = common.written(lines(docs), "lines")
-    first = table.groupBy("h", "size").agg(F.min(F.struct("doc_id", "th")).alias("f"), F.count("*").alias("rows"), F.max(F.struct("doc_id", "th")).alias("l")).where("f <> l").select("h", "size", F.col("f.doc_id").alias("f_id"), F.col("f.th").alias("f_th"))
-    # Whoever holds a shared line, with its first holder; the first holder's own places come by the same join.
-    held = table.join(first, ["h", "size"])
-    source = held.where("doc_id = f_id and th = f_th").groupBy("h", "size").agg(F.first("at").alias("f_at"))
-    pairs = held.where("not (doc_id = f_id and th = f_th)").join(source, ["h", "size"])
+    # The first holder of each shared line with its places; a table of its own, so that the join can split a hot line.
+    first = table.groupBy("h", "size").agg(F.min(F.struct("doc_id", "th", "at")).alias("f"), F.max(F.struct("doc_id", "th")).alias("l")).where("f.doc_id <> l.doc_id or f.th <> l.th").select("h", "size", F.col("f.doc_id").alias("f_id"), F.col("f.th").alias("f_th"), F.col("f.at").alias("f_at"))
+    pairs = table.join(common.written(first, "first-holders"), ["h", "size"]).where("doc_id <> f_id or th <> f_th")
     # Rows with equal doc_id and text have the same lines; one of them stands for all.
     grouped = pairs.groupBy("doc_id", "th").agg(F.collect_set(F.struct("f_id", "f_th", "h", "size", "n_words", "at", "f_at")).alias("s"))
 
