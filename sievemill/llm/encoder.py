@@ -8,13 +8,20 @@ the ids that the library gives for the whole text, which the tests check.
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 from tokenizers import Tokenizer
 
 from . import common
 
-#: Words that the table of a worker holds (about 80 MB with their ids); it starts anew beyond that.
-TABLE_WORDS = 1_500_000
+# One thread a task: Spark runs a task on every core already.
+os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+#: Words that the table of a worker holds (about 45 MB with their ids); it starts anew beyond that.
+TABLE_WORDS = 800_000
+#: Bytes of text that encode() should get at once; its arrays take about 40 times as much.
+PIECE = 1 << 19
 
 _SPACE, _LINE, _LETTER, _NUMBER, _OTHER = range(5)
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -45,7 +52,8 @@ class Encoder:
         self.start, self.pool = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # The library's result objects are large; few of them are alive at once.
+        return [np.array(e.ids, np.uint32) for k in range(0, len(texts), 2000) for e in self.tokenizer.encode_batch_fast(texts[k : k + 2000], add_special_tokens=False)]
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """The row of each hash in the table, -1 if it is not there."""
@@ -87,7 +95,7 @@ class Encoder:
             keys, values = self.keys[held], self.values[held]
             size = len(self.keys)
             while self.n > 0.4 * size:
-                size *= 4
+                size *= 2
             self.keys, self.values = np.zeros(size, np.uint64), np.zeros(size, np.int32)
             self._put(keys, values)
         self._put(h, rows)

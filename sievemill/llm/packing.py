@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .encoder import encoder
+from .encoder import PIECE, encoder
 
 #: Islands, individuals on each, epochs (with a migration after each), children in an epoch.
 ISLANDS, POPULATION, EPOCHS, CHILDREN = 4, 6, 2, 6
@@ -42,7 +42,7 @@ def tokenize(docs: DataFrame, vocab: str, end_id: int, capacity: int) -> DataFra
         seen, full = np.zeros(capacity + 1, np.int64), 0
         for batch in batches:
             data, offsets = common.utf8(batch.column(1))
-            for a, b in common.pieces(offsets, 2 << 20):
+            for a, b in common.pieces(offsets, PIECE):
                 ids, o = code.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 n = np.diff(o) + 1
                 ids = np.insert(ids, o[1:], end_id).astype("<u4")

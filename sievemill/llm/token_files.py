@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .encoder import encoder
+from .encoder import PIECE, encoder
 
 SCHEMA = "doc_id long, part long, before long, n_tokens long, ids array<int>"
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "2000", "orc.stripe.size": str(32 << 20), "compression": "zstd"}
@@ -33,7 +33,7 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int = 1) -> None:
         part, code, before = TaskContext.get().partitionId(), encoder(vocab, "bare"), 0
         for batch in batches:
             data, offsets = common.utf8(batch.column(1))
-            for a, b in common.pieces(offsets, 2 << 20):
+            for a, b in common.pieces(offsets, PIECE):
                 ids, o = code.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 n = np.diff(o) + 1
                 ids = np.insert(ids, o[1:], end_id).astype(np.int32)
