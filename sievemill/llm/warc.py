@@ -156,6 +156,11 @@ def write(pages: DataFrame, base: str) -> DataFrame:
     return common.written(plan_revisits(pages).mapInArrow(run, "archive string, records long"), "archives")
 
 
+def _dealt(archives: DataFrame) -> DataFrame:
+    """One task for each archive, or for a few: their names are small, their files are not."""
+    return archives.select("archive").repartition(min(10_000, max(1, archives.count())), "archive")
+
+
 def normalize(archives: DataFrame, base: str) -> DataFrame:
     """Rewrite monolithic archives with one gzip member a record and a sidecar index: (archive, records, bytes)."""
 
@@ -177,8 +182,7 @@ def normalize(archives: DataFrame, base: str) -> DataFrame:
                 index.done()
                 yield pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([n], pa.int64()), pa.array([at], pa.int64())], names=["archive", "records", "bytes"])
 
-    names = archives.select("archive")
-    return common.written(names.repartition("archive").mapInArrow(run, "archive string, records long, bytes long"), "normalized")
+    return common.written(_dealt(archives).mapInArrow(run, "archive string, records long, bytes long"), "normalized")
 
 
 def read(archives: DataFrame, base: str) -> DataFrame:
@@ -208,7 +212,7 @@ def read(archives: DataFrame, base: str) -> DataFrame:
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(7)], names=["page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest"])
 
-    return archives.select("archive").repartition("archive").mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
+    return _dealt(archives).mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
 
 
 def round_trip(pages: DataFrame, base: str) -> DataFrame:
