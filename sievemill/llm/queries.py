@@ -65,9 +65,33 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_nearest, op3_warc, op4_chat, op5_line_dedup, op6_quality, op7_simhash, op8_pack, op9_pseudonyms, op10_token_files)}
 
-_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: The words of a text, as op1 takes them.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL = {
+    "op1_decontaminate": f"""
+        WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        win AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS size, list_slice(w, i, i + least(len(w), 10) - 1) AS x, i
+            FROM b, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS r(i) WHERE len(w) > 0
+        ),
+        d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        sizes AS (SELECT DISTINCT size FROM win),
+        place AS (
+            SELECT doc_id, size, i, list_slice(w, i, i + size - 1) AS x
+            FROM d, sizes, unnest(range(1, len(w) - size + 2)) AS r(i) WHERE len(w) >= size
+        ),
+        hit AS (SELECT p.doc_id, p.i AS spot, p.size, win.item_id, win.i AS item_at FROM place p JOIN win ON p.size = win.size AND p.x = win.x),
+        covered AS (SELECT doc_id, count(DISTINCT spot + k) AS n FROM hit, unnest(range(0, size)) AS s(k) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id),
+        run AS (SELECT *, spot - row_number() OVER (PARTITION BY doc_id, item_id, spot - item_at ORDER BY spot) AS g FROM hit),
+        long AS (SELECT doc_id, item_id, min(spot) AS spot, min(item_at) AS item_at, count(*) - 1 + min(size) AS n FROM run GROUP BY doc_id, item_id, spot - item_at, g),
+        best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, spot, item_id, item_at) AS k FROM long)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(i.n, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated,
+               CAST(coalesce(b.n, 0) AS BIGINT) AS longest_words, CAST(coalesce(b.spot - 1, -1) AS BIGINT) AS longest_start, CAST(coalesce(b.item_id, -1) AS BIGINT) AS longest_item
+        FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN items i USING (doc_id) LEFT JOIN (SELECT * FROM best WHERE k = 1) b USING (doc_id)
+    """,
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         q AS (SELECT page_id, strlen(html) AS n, sha1(html) AS d, max(page_id) OVER (PARTITION BY html) AS kept FROM p)
@@ -88,5 +112,5 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(12 + length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + 11) AS BIGINT) AS formatted_chars
         FROM t GROUP BY conv_id
-    """.replace("\\\\", "\\").replace("\\|", "\\|"),
+    """,
 }
