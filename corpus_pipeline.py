@@ -6,43 +6,60 @@ one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemill.llm import common, decontaminate, line_dedup, packing, quality, simhash
 
+#: Work folders of the stage before, whose result is written by the time that the next stage begins.
+_before: list[str] = []
+
+
+def _stage(operator):
+    @wraps(operator)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.delete(spark, _before)
+        with common.recorded() as made:
+            out = operator(spark, docs, sf_dir)
+        _before.extend(made)
+        return out
+
+    return run_stage
+
 
+@_stage
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    common.release_scratch(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@_stage
 def line_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated blocks of lines go from the later document; a document of which nothing is left goes too."""
-    common.release_scratch(spark)
     out = line_dedup.dedup_lines(docs).where((F.col("removed_lines") == 0) | (F.trim(F.translate("text", "\n\r\t", "   ")) != ""))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
+@_stage
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
-    common.release_scratch(spark)
     return simhash.keep_one(docs).select(*docs.columns)
 
 
+@_stage
 def decontamination_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
-    common.release_scratch(spark)
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
+@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all that is left, in sequences of at most 1024 tokens."""
-    common.release_scratch(spark)
     return packing.pieces_digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
@@ -60,7 +77,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    # One folder for all stages: each operator's own scratch goes when the next stage begins.
     base = common.result_dir(spark, "pipeline")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")

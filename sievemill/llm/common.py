@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
-_scratch: list[str] = []
+_recorders: list[list[str]] = []
 
 #: Rows and bytes that one Arrow batch may hold; long texts then don't pile up in a Python worker.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
@@ -47,17 +48,29 @@ def result_dir(spark: SparkSession, name: str) -> str:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A result_dir() that release_scratch() may delete."""
-    _scratch.append(result_dir(spark, name))
-    return _scratch[-1]
-
-
-def release_scratch(spark: SparkSession) -> None:
-    """Delete every scratch folder made so far; only for callers whose earlier results are written elsewhere."""
-    jvm = spark.sparkContext._jvm
+    """A result_dir() for what an operator keeps meanwhile."""
+    path = result_dir(spark, name)
+    for made in _recorders:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def recorded():
+    """The work folders that are made within, as a list."""
+    made: list[str] = []
+    _recorders.append(made)
+    try:
+        yield made
+    finally:
+        _recorders.remove(made)
+
+
+def delete(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders, and empty the list; only for those whose readers are done."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+    while folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folders.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
