@@ -150,14 +150,18 @@ def validation_metrics(df: DataFrame, key: list[str], value: str = "value", vote
     """
     names = [order, value] + ([vote] if vote else [])
     groups = df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("rows")).withColumn("n_resp", F.size("rows"))
+    groups = groups.withColumn("values", F.transform("rows", lambda x: x[value].cast("double")))
+    if vote:  # a vote as the position at which it is first seen
+        cast = F.transform("rows", lambda x: F.coalesce(x[vote].cast("string"), F.lit("\0")))
+        groups = groups.withColumn("votes", F.transform(cast, lambda x: F.array_position(cast, x)))
     sizes = [r[0] for r in groups.select("n_resp").distinct().collect()]
     drawn = groups.join(resample_table(df.sparkSession, sizes, draws, seed), "n_resp")
-    v = F.transform("rows", lambda x: x[value].cast("double"))
+    v = F.col("values")
     pick = lambda a, ix: F.transform(ix, lambda i: F.get(a, i))
 
     def commonest(ix: Column) -> Column:
-        votes = pick(F.transform("rows", lambda x: x[vote].cast("string")), ix)
-        counts = F.transform(votes, lambda a: F.size(F.filter(votes, lambda b: a.eqNullSafe(b))))
+        votes = pick(F.col("votes"), ix)
+        counts = F.transform(votes, lambda a: F.size(F.filter(votes, lambda b: a == b)))
         return F.get(pick(v, ix), (F.array_position(counts, F.array_max(counts)) - 1).cast("int"))
 
     kinds: dict[str, Callable[[Column], Column]] = {"best": lambda ix: F.array_max(pick(v, ix)), "worst": lambda ix: F.array_min(pick(v, ix))}
@@ -165,7 +169,12 @@ def validation_metrics(df: DataFrame, key: list[str], value: str = "value", vote
         kinds["maj"] = commonest
     reduced = drawn.select(*key, "subset", *[F.transform("idx", f).alias(k) for k, f in kinds.items()])
     avg = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
-    std = lambda a: F.sqrt(avg(F.transform(a, lambda x: (x - avg(a)) * (x - avg(a)))))
+
+    def std(a: Column) -> Column:
+        """One pass, about the first value, so that close values do not cancel."""
+        sums = F.aggregate(a, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda t, x: F.struct((t["s"] + x - F.get(a, 0)).alias("s"), (t["q"] + (x - F.get(a, 0)) * (x - F.get(a, 0))).alias("q")), lambda t: t["q"] / F.size(a) - t["s"] * t["s"] / F.size(a) / F.size(a))
+        return F.sqrt(F.greatest(sums, F.lit(0.0)))
+
     entry = lambda label, x: F.struct(label.alias("metric"), x.alias("value"))
     at = lambda kind, n, tail="": F.concat(F.lit(f"{kind}@"), n.cast("string"), F.lit(tail))
     plain = groups.select(key[0], F.explode(F.array(entry(at("mean", F.col("n_resp")), avg(v)), entry(at("std", F.col("n_resp")), F.when(F.col("n_resp") > 1, std(v))))).alias("m"))

@@ -69,7 +69,7 @@ def _pass(by=None, full=None):
 
 query("pass_at_k", with_sql("val", body=_FIRST + f" SELECT CAST(k AS INTEGER) AS k, count(*) AS groups, {_RATES} FROM f, {_KS} GROUP BY k"))(_pass())
 query("pass_at_k_by_source", with_sql("val", body=_FIRST + f" SELECT source, CAST(k AS INTEGER) AS k, count(*) AS groups, {_RATES} FROM f, {_KS} GROUP BY source, k"))(_pass("source"))
-query("pass_at_k_full_groups", with_sql("val", body=_FIRST + f" SELECT CAST(k AS INTEGER) AS k, count(*) AS groups, {_RATES} FROM f, {_KS} WHERE c =  GROUP BY k"))(_pass(None, ))
+query("pass_at_k_full_groups", with_sql("val", body=_FIRST + f" SELECT CAST(k AS INTEGER) AS k, count(*) AS groups, {_RATES} FROM f, {_KS} WHERE c = 13 GROUP BY k"))(_pass(None, 13))
 query(
     "val_majority",
     with_sql(
