@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import base, batches, estimators, texts, token_arrays, validation  # noqa: F401
+from . import base, batches, estimators, selecting, texts, token_arrays, validation  # noqa: F401
 
 QUERIES, ORACLE_SQL = base.QUERIES, base.ORACLE_SQL
