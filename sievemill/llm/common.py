@@ -97,8 +97,8 @@ def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
 
 
-def pieces(offsets: np.ndarray, limit: int = 4 << 20):
-    """(from, to) of runs of rows with about `limit` bytes at most; a longer row makes a run of its own."""
+def pieces(offsets: np.ndarray, limit: int = 1 << 20):
+    """(from, to) of runs of rows with about `limit` bytes at most; a longer row makes a run of its own. Arrays over a run are several times its bytes."""
     at, n = 0, len(offsets) - 1
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
