@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -32,3 +37,12 @@ def register_views(spark: SparkSession, sf_dir: str) -> None:
     """Temporary views of all tables, for spark.sql."""
     for name in TABLES:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors share: under spark.checkpoint.dir, or of this machine where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="sievemill-")
+        atexit.register(shutil.rmtree, base, True)
+    return f"{base.rstrip('/')}/sievemill-{name}-{uuid.uuid4().hex}"
