@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import base, batches, estimators, mathematics, selecting, streams, texts, token_arrays, validation  # noqa: F401
+from . import base, batches, estimators, mathematics, sampling, selecting, streams, texts, token_arrays, validation  # noqa: F401
 
 QUERIES, ORACLE_SQL = base.QUERIES, base.ORACLE_SQL
