@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import mathtext as M
+from ..operators import searchtext as X
 from ..session import table
 from .base import query, r
 
@@ -32,3 +33,10 @@ query("channel_calls", f"SELECT conv_id, turn, role AS name, conv_id || '!' AS a
 query("tag_layout", f"SELECT conv_id, turn, {r('CASE WHEN role = ' + chr(39) + 'user' + chr(39) + ' THEN 1 ELSE 0 END', 'score')} {_FROM}")(
     lambda s, d: _made(s, d, "<think>", "text", "</think>\n<response>", "text", "</response>").select("conv_id", "turn", M.tag_layout(F.col("made"), F.when(F.col("role") == "user", "<response>").otherwise("<tool_call>")).alias("score"))
 )
+
+_ASK, _GOT = '<tool_call>{"name": "search", "arguments": {"query": "', '"}}</tool_call><information><document title="'
+query("search_reward", f"SELECT conv_id, turn, 'The ' || conv_id AS pred, {r('CASE WHEN conv_id % 2 = 1 THEN 1.0 ELSE 0.85 END', 'score')}, 'role ' || conv_id || '|' || role AS queries, CAST(2 AS INTEGER) AS num_tool_calls {_FROM}")(
+    lambda s, d: _made(s, d, "<think>", "text", "</think>", _ASK + "role ", "id", _GOT + "T ", "id", '"/></information>' + _ASK, "role", _GOT + 'U"/></information><answer> The ', "id", "</answer>")
+    .withColumn("g", X.search_reward(F.col("made"), F.array(F.concat(F.lit("("), "id", F.lit(")"))), F.when(F.col("conv_id") % 2 == 1, "sequential").otherwise("parallel"), F.lit("which role"), F.array(F.concat(F.lit("t  "), "id"))))
+    .select("conv_id", "turn", "g.pred", "g.score", F.array_join("g.queries", "|").alias("queries"), "g.num_tool_calls")
+)

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +47,11 @@ def work_dir(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="sievemill-")
         atexit.register(shutil.rmtree, base, True)
     return f"{base.rstrip('/')}/sievemill-{name}-{uuid.uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers that are started from now on import this package from where it lies."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
+    if root not in known.split(":"):
+        env["PYTHONPATH"] = f"{root}:{known}" if known else root
