@@ -5,10 +5,14 @@ Scores are rounded before they rank, so that the order of a sum decides no tie;
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOKEN = "[a-z0-9]+|[\\u3400-\\u9fff]"
+#: Bytes of queries that are broadcast at once, and scores that a task holds at once.
+BLOCK_BYTES, SCORES = 32 << 20, 1 << 21
 #: Words that no index and no query holds.
 STOP_WORDS = "a an and are as at be by did do does for from has have how in is it of on or that the to was were what when where which who with".split()
 
@@ -47,9 +51,48 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The best k of vectors(doc_id, v) for each of queries(query_id, q) by inner product; the set of queries is the small side."""
-    dot = F.aggregate(F.zip_with(F.col("v"), F.col("q"), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return rank(vectors.join(queries).select("query_id", "doc_id", dot.alias("score")), k)
+    """The best k of vectors(doc_id, v) for each of queries(query_id, q) by inner product in double precision.
+
+    Queries go in blocks of at most BLOCK_BYTES, split by the hash of their id. A block is broadcast as a matrix, one scan
+    of the vectors multiplies with it and keeps k rows per query and task, and the best k of all tasks stay; vectors are
+    never shuffled. Null vectors, vectors that hold a null and those of another width than the widest query take no part.
+    """
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())
+    asked = queries.where(F.col("query_id").isNotNull() & whole("q")).select("query_id", F.col("q").cast("array<double>").alias("q"))
+    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
+    rows = vectors.where(F.col("doc_id").isNotNull() & whole("v") & (F.size("v") == width)).select("doc_id", F.col("v").cast("array<double>").alias("v"))
+    blocks = max(1, -(-n * width * 8 // BLOCK_BYTES))
+    asked = asked.where(F.size("q") == width)
+    parts = [_dense_block(rows, asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), k, width) for b in range(blocks)]
+    return rank(reduce(DataFrame.unionByName, parts), k)
+
+
+def _dense_block(rows: DataFrame, block: DataFrame, k: int, width: int) -> DataFrame:
+    kinds = {f.name: f.dataType.simpleString() for f in (*rows.schema, *block.schema)}
+    got = block.toArrow()
+    sent = rows.sparkSession.sparkContext.broadcast((got["query_id"].to_numpy(), got["q"].combine_chunks().flatten().to_numpy().reshape(-1, width or 1)))
+    most = SCORES
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        ids, q = sent.value
+        best, docs = np.full((len(ids), 0), 0.0), None
+        for batch in batches:
+            v = batch.column(1).flatten().to_numpy().reshape(len(batch), -1) if len(ids) else np.zeros((0, 1))
+            names = batch.column(0).to_numpy()
+            step = max(1, most // max(1, len(ids)))
+            for at in range(0, len(v), step):
+                score = np.hstack([best, q @ v[at : at + step].T])
+                fresh = np.broadcast_to(names[at : at + step], (len(ids), len(names[at : at + step])))
+                known = fresh if docs is None else np.hstack([docs, fresh])
+                first = np.lexsort((known, -np.round(score, 9)), axis=-1)[:, :k]
+                best, docs = np.take_along_axis(score, first, 1), np.take_along_axis(known, first, 1)
+        if docs is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, docs.shape[1])), pa.array(docs.ravel()), pa.array(best.ravel())], names=["query_id", "doc_id", "score"])
+
+    return rows.mapInArrow(run, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double")
 
 
 def fuse(k: int, constant: int = 60, *rankings: tuple[DataFrame, float]) -> DataFrame:
