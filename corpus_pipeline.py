@@ -39,7 +39,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 @_stage
 def line_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated blocks of lines go from the later document; a document of which nothing is left goes too."""
-    out = line_dedup.dedup_lines(docs).where((F.col("removed_lines") == 0) | (F.trim(F.translate("text", "\n\r\t", "   ")) != ""))
+    out = line_dedup.dedup_lines(docs, one_holder=True).where((F.col("removed_lines") == 0) | (F.trim(F.translate("text", "\n\r\t", "   ")) != ""))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -5,7 +5,12 @@ the one with the line's first holder (the least doc_id), so that even a line of
 never all pairs, and no frequency limit is needed. A pair is aligned by patience diff: lines that are unique in both
 documents are anchors, the longest run of anchors in both orders is kept, the gaps between them are aligned the same
 way, and what is left is aligned again until nothing is shared. Aligned lines that follow each other make a block; blocks
-of MIN_WORDS words or more are deleted from the later document.
+of MIN_WORDS words or more are deleted from the later document. As this takes every shared line, in any order and of any
+holder, the alignment decides nothing: a block may be short lines that never stood together in one earlier document.
+
+With `one_holder` nothing is aligned. What documents share are then the shortest runs of lines of MIN_WORDS words, forwards
+and backwards from each line; they make up every longer block. A block's lines follow each other in one earlier document,
+any that holds it, and all blocks go, whatever their order and number in the later one.
 
 Defined results: null texts stay null; blank lines belong to the block around them and never make one; a text of which
 nothing is left becomes empty; rows without doc_id are left as they are; rows that repeat doc_id and text are treated
@@ -18,6 +23,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,21 +38,38 @@ SHIFT = 31
 LINES = "doc_id long, th long, h long, size int, n_words int, at array<long>"
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """A row for each distinct line of each text with its places, without blank lines."""
+def lines(docs: DataFrame, one_holder: bool = False) -> DataFrame:
+    """A row for each distinct line of each text with its places, without blank lines.
+
+    With `one_holder` a row for each distinct shortest run; its places are the numbers (among all) of all its lines.
+    """
     common.prepare(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             data, offsets = common.utf8(batch.column(2))
             for a, b in common.pieces(offsets):
-                yield _lines(batch.slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                yield _lines(batch.slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], one_holder)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     return rows.mapInArrow(run, LINES)
 
 
-def _lines(batch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+def _runs(doc: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) of the shortest runs of lines of one document with MIN_WORDS words, forwards and backwards from each line."""
+    total = np.append(0, np.cumsum(words))
+    line = np.arange(len(doc))
+    last = np.searchsorted(total, total[:-1] + MIN_WORDS) - 1
+    first = np.searchsorted(total, total[1:] - MIN_WORDS, "right") - 1
+    a, b = np.concatenate([line, first]), np.concatenate([last, line])
+    ok = (a >= 0) & (b < len(doc))
+    ok[ok] = doc[a[ok]] == doc[b[ok]]
+    # A run of one line is found both ways; it has at most MIN_WORDS lines.
+    key = np.unique(a[ok] * (MIN_WORDS + 1) + b[ok] - a[ok])
+    return key // (MIN_WORDS + 1), key // (MIN_WORDS + 1) + key % (MIN_WORDS + 1)
+
+
+def _lines(batch, data: np.ndarray, offsets: np.ndarray, one_holder: bool) -> pa.RecordBatch:
     feeds = np.flatnonzero(data == 0x0A)
     starts = np.sort(np.concatenate([offsets[:-1], feeds + 1]), kind="stable")
     # An offset and the end of a feed can be the same place; both start a line, the first of them an empty one.
@@ -58,16 +81,31 @@ def _lines(batch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
     words = np.searchsorted(w_start, ends) - np.searchsorted(w_start, starts)
     keep = words > 0
     starts, ends, doc, at, words = (x[keep] for x in (starts, ends, doc, at, words))
-    head = np.searchsorted(doc, doc)
-    at |= (np.arange(len(doc)) - head) << SHIFT
-    h = common.slice_hashes(data, starts, ends).view(np.int64)
+    h, size = common.slice_hashes(data, starts, ends), ends - starts
+    if one_holder:
+        places, one, total = at, h, np.append(0, np.cumsum(size))
+        at, last = _runs(doc, words)
+        words, size, doc = last - at + 1, total[last + 1] - total[at], doc[at]
+        h = np.zeros(len(at), np.uint64)
+        for k in range(MIN_WORDS):
+            on = np.flatnonzero(words > k)
+            h[on] = common.mix(h[on] * np.uint64(3) + one[at[on] + k])
+    else:
+        head = np.searchsorted(doc, doc)
+        at |= (np.arange(len(doc)) - head) << SHIFT
+    h = h.view(np.int64)
     by = np.lexsort((at, h, doc))
-    doc, h, at, size, words = doc[by], h[by], at[by], (ends - starts)[by], words[by]
+    doc, h, at, size, words = doc[by], h[by], at[by], size[by], words[by]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
     head = np.flatnonzero(new)
     owner = pa.array(doc[head])
-    return pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(h[head]), pa.array(size[head].astype(np.int32)), pa.array(words[head].astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.append(head, len(doc)).astype(np.int32)), pa.array(at))], names=["doc_id", "th", "h", "size", "n_words", "at"])
+    edges = np.append(head, len(doc))
+    if one_holder:
+        ends = np.append(0, np.cumsum(words))
+        at = places[np.repeat(at - ends[:-1], words) + np.arange(ends[-1])]
+        edges = ends[edges]
+    return pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(h[head]), pa.array(size[head].astype(np.int32)), pa.array(words[head].astype(np.int32)), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(at))], names=["doc_id", "th", "h", "size", "n_words", "at"])
 
 
 def _longest_rising(values: list[int]) -> list[int]:
@@ -151,12 +189,30 @@ def doomed(blocks: list[tuple[int, int]]) -> list[int]:
     return [x & ((1 << SHIFT) - 1) for x in out + (run if words >= MIN_WORDS else [])]
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def _flags(batches):
+    """(doc_id, th, sets of line numbers) -> flags at those lines."""
+    for batch in batches:
+        sets = batch.column(2)
+        flat = sets.flatten()
+        edges = np.append(0, np.cumsum(pc.list_value_length(flat).to_numpy()))[np.append(0, np.cumsum(pc.list_value_length(sets).to_numpy()))]
+        at = flat.flatten().to_numpy()
+        drops = []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            flags = np.zeros(int(at[a:b].max()) + 1, bool)
+            flags[at[a:b]] = True
+            drops.append(flags)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(drops, pa.list_(pa.bool_()))], names=["doc_id", "th", "drop"])
+
+
+def repeated_lines(docs: DataFrame, one_holder: bool = False) -> DataFrame:
     """(doc_id, th, drop): true at the lines to delete, of each document that has some; th is xxhash64(text)."""
-    table = common.written(lines(docs), "lines")
+    table = common.written(lines(docs, one_holder), "lines")
     # The first holder of each shared line with its places; a table of its own, so that the join can split a hot line.
-    first = table.groupBy("h", "size").agg(F.min(F.struct("doc_id", "th", "at")).alias("f"), F.max(F.struct("doc_id", "th")).alias("l")).where("f.doc_id <> l.doc_id or f.th <> l.th").select("h", "size", F.col("f.doc_id").alias("f_id"), F.col("f.th").alias("f_th"), F.col("f.at").alias("f_at"))
+    first = table.groupBy("h", "size").agg(F.min(F.struct("doc_id", "th") if one_holder else F.struct("doc_id", "th", "at")).alias("f"), F.max(F.struct("doc_id", "th")).alias("l")).where("f.doc_id <> l.doc_id or f.th <> l.th").select("h", "size", F.col("f.doc_id").alias("f_id"), F.col("f.th").alias("f_th"), *([] if one_holder else [F.col("f.at").alias("f_at")]))
     pairs = table.join(common.written(first, "first-holders"), ["h", "size"]).where("doc_id <> f_id or th <> f_th")
+    if one_holder:
+        # Rows with equal doc_id and text have equal places.
+        return pairs.groupBy("doc_id", "th").agg(F.collect_set("at").alias("at")).mapInArrow(_flags, "doc_id long, th long, drop array<boolean>")
     # Rows with equal doc_id and text have the same lines; one of them stands for all.
     grouped = pairs.groupBy("doc_id", "th").agg(F.collect_set(F.struct("f_id", "f_th", "h", "size", "n_words", "at", "f_at")).alias("s"))
 
@@ -182,9 +238,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return grouped.mapInArrow(run, "doc_id long, th long, drop array<boolean>")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, one_holder: bool = False) -> DataFrame:
     """docs with repeated blocks of lines deleted from text; the columns of docs, and removed_lines (int)."""
-    drops = repeated_lines(docs)
+    drops = repeated_lines(docs, one_holder)
     columns = docs.columns
     keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")})
     joined = keyed.join(drops.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("drop").alias("__drop")), ["__id", "__th"], "left")

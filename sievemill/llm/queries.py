@@ -36,7 +36,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), one_holder=True)
     return out.select("doc_id", "removed_lines", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from sievemill.llm import queries as llm
 from sievemill.llm import chat, common, decontaminate, line_dedup, neighbours, packing, pseudonyms, quality, simhash, token_files, warc
 
 SF = "/root/testdata/sf0.001"
@@ -211,6 +212,50 @@ def test_line_dedup(spark):
     assert got[0].asDict().keys() == {*docs.columns, "removed_lines"}
 
 
+def plain_blocks(texts):
+    """Lines go that lie, with their neighbours, in five words or more that follow each other in one earlier document."""
+    lines = [[(k, x) for k, x in enumerate((t or "").split("\n")) if x.split()] for t in texts]
+    out = []
+    for i, t in enumerate(texts):
+        drop = set()
+        for old in lines[:i]:
+            for a in range(len(lines[i])):
+                for b in range(len(old)):
+                    n = 0
+                    while a + n < len(lines[i]) and b + n < len(old) and lines[i][a + n][1] == old[b + n][1]:
+                        n += 1
+                    if sum(len(x.split()) for _, x in lines[i][a : a + n]) >= 5:
+                        drop.update(k for k, _ in lines[i][a : a + n])
+        out.append((None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop), len(drop)))
+    return out
+
+
+def test_line_dedup_one_holder(spark):
+    one, two, three = "a1 a2 a3", "b1 b2 b3", "c1 c2 c3"
+    rng = random.Random(6)
+    pool = [words(rng, rng.choice([1, 2, 3, 6])) for _ in range(12)]
+    texts = [
+        "\n".join([one, two, three]),
+        "\n".join([three, two, one]),  # another order: no two lines follow each other there
+        "\n".join([one, "mine alone here now ok", one, "", two, "", three]),  # blank lines don't end a block
+        "x1 x2 x3\ny1 y2 y3",
+        "\n".join([one, "x1 x2 x3", two, "y1 y2 y3"]),  # short lines of two holders
+        "\n".join(["z1 z2 z3", one]),
+        "\n".join(["z1 z2 z3", one]),  # the first holder of its last line lacks the block
+        None,
+    ]
+    texts += ["\n".join(rng.choice(pool) if rng.random() < 0.8 else "" for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    got = [(r["text"], r["removed_lines"]) for r in line_dedup.dedup_lines(documents(spark, texts), one_holder=True).orderBy("doc_id").collect()]
+    assert got == plain_blocks(texts)
+    assert [t for t, _ in got[:7]] == [texts[0], texts[1], f"{one}\nmine alone here now ok\n\n", texts[3], texts[4], texts[5], ""]
+
+
+def test_op5_keeps_what_no_block_holds(spark, tmp_path):
+    texts = ["a1 a2 a3\nb1 b2 b3", "b1 b2 b3\na1 a2 a3"]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r["removed_lines"] for r in llm.QUERIES["op5_line_dedup"](spark, str(tmp_path)).orderBy("doc_id").collect()] == [0, 0]
+
+
 def test_line_dedup_edges(spark):
     line = "one two three four five six"
     docs = documents(spark, [line, line, line, line, line + " x"], [4, 4, None, 7, 7])
