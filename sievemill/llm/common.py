@@ -81,6 +81,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_key():
+    """A hash of a row's text; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def row_key():
+    """A hash of a row's doc_id, which may be null, and text."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), text_key())
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a text or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

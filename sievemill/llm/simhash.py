@@ -7,6 +7,10 @@ task of a prefix makes the variants with that prefix, sorts them, and links the
 one variant are within the radius of each other, they are linked to the smallest owner, so a large ball costs a star,
 not all pairs. The number of prefixes follows the number of fingerprints.
 
+keep_one() also takes documents as near-duplicates whose sets of NEAR_WORDS-word shingles have a Jaccard similarity of
+NEAR or more, which a ball of fingerprints cannot hold (at 0.8 they are some ten bits apart). Candidates share one of
+BANDS bands of ROWS minima; each is verified on its whole sets.
+
 Defined results: null, empty and wordless texts have fingerprint zero, linked like any other; rows with equal
 fingerprints are one component; rows with a null doc_id keep their component but never name it; extra columns are ignored.
 """
@@ -20,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -29,6 +33,18 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints of a prefix whose variants fit in about 64 MB.
 PREFIX_FINGERPRINTS = 4000
 
+#: Similarity 4/5; of a pair at that similarity, 1 in 20,000 shares no band.
+NEAR_WORDS, NEAR, BANDS, ROWS = 5, (4, 5), 25, 5
+#: Documents of a band are compared with so many before them (by size) and with the first.
+NEIGHBOURS = 15
+_rng = np.random.default_rng(SEED)
+_TIMES, _PLUS = _rng.integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64)
+_TIMES |= np.uint64(1)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+
 
 def shingle_hashes(text: bytes, width: int = SHINGLE) -> np.ndarray:
     """XXH64 of every shingle of an ASCII-lower-cased text."""
@@ -140,7 +156,95 @@ def fingerprint_digest(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the distinct shingles of every text, text after text, how many each has); a shorter text is one shingle."""
+    starts, ends = common.runs(~_SPACE[data], offsets)
+    per = np.diff(np.searchsorted(starts, offsets))
+    words = common.slice_hashes(_LOWER[data], starts, ends)
+    width = np.minimum(per, NEAR_WORDS)
+    count = np.where(per > 0, per - width + 1, 0)
+    doc = np.repeat(np.arange(len(per)), count)
+    at = np.arange(len(doc)) + np.repeat(np.cumsum(per) - per - np.cumsum(count) + count, count)
+    w = width[doc]
+    h = w.astype(np.uint64)
+    for k in range(NEAR_WORDS):
+        on = np.flatnonzero(w > k)
+        h[on] = common.mix(h[on] * np.uint64(3) + words[at[on] + k])
+    by = np.lexsort((h, doc))
+    h, doc = h[by], doc[by]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[new], np.bincount(doc[new], minlength=len(per))
+
+
+def bands(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A row of band keys for each set that is not empty."""
+    heads = (np.cumsum(count) - count)[count > 0]
+    keys = np.tile(np.arange(BANDS, dtype=np.uint64), (len(heads), 1))
+    if len(heads):
+        for k in range(BANDS * ROWS):
+            keys[:, k // ROWS] = common.mix(keys[:, k // ROWS] * np.uint64(3) + np.minimum.reduceat(h * _TIMES[k] + _PLUS[k], heads))
+    return keys
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, row, fp, n, bands) of every row: keys of its text and of itself, fingerprint, shingles and their bands."""
+    common.prepare(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = common.utf8(batch.column(3))
+            for a, b in common.pieces(offsets):
+                part, o = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                text, cut = part.tobytes(), o.tolist()
+                fps = np.array([fingerprint(text[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)], np.uint64).view(np.int64)
+                h, count = shingle_sets(part, o)
+                keys = bands(h, count).view(np.int64).ravel()
+                ends = np.append(0, np.cumsum((count > 0) * BANDS)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), pa.array(fps), pa.array(count.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))], names=["doc_id", "th", "row", "fp", "n", "bands"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_key().alias("th"), common.row_key().alias("row"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, th long, row long, fp long, n int, bands array<long>")
+
+
+def similar(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (src, dst) between the texts (th) of classes(th, n, bands, first.row) whose sets of shingles are similar."""
+    near, of = NEAR
+    in_band = Window.partitionBy("band").orderBy("n", "th")
+    me = F.struct("th", "n")
+    shared = classes.select("th", "n", F.explode("bands").alias("band")).withColumn("others", F.array(F.first(me).over(in_band), *[F.lag(me, k).over(in_band) for k in range(1, NEIGHBOURS + 1)]))
+    pairs = shared.select("th", "n", F.explode("others").alias("o")).where("o is not null and o.th <> th").where(of * F.least("n", "o.n") >= near * F.greatest("n", "o.n"))
+    pairs = common.written(pairs.select(F.greatest("th", "o.th").alias("src"), F.least("th", "o.th").alias("dst")).distinct(), "candidates")
+    nodes = pairs.select(F.col("src").alias("th")).unionByName(pairs.select(F.col("dst").alias("th"))).distinct()
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = common.utf8(batch.column(1))
+            for a, b in common.pieces(offsets):
+                h, count = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(h.view(np.int64)))], names=["th", "set"])
+
+    # One row stands for each text, so a text with many copies is not dealt to one task.
+    rows = classes.join(nodes, "th").select(F.col("first.row").alias("row"))
+    texts = docs.select(common.row_key().alias("row"), common.text_key().alias("th"), F.col("text").cast("string").alias("text")).join(rows, "row", "left_semi").dropDuplicates(["row"])
+    sets = common.written(texts.select("th", "text").mapInArrow(run, "th long, set array<long>"), "shingle-sets")
+    both = pairs.join(sets.select(F.col("th").alias("src"), F.col("set").alias("a")), "src").join(sets.select(F.col("th").alias("dst"), F.col("set").alias("b")), "dst")
+    # i / (|a| + |b| - i) >= near / of, in whole numbers.
+    return both.where((near + of) * F.size(F.array_intersect("a", "b")) >= near * (F.size("a") + F.size("b"))).select("src", "dst")
+
+
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that are the first of their component; further rows with that doc_id, and rows without one, stay too."""
-    gone = near_duplicates(docs, radius).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of docs of each component of near-duplicates: that with the least doc_id, one without doc_id only if none has one.
+
+    Near-duplicates are texts with fingerprints within `radius` bits, and texts with similar sets of shingles.
+    """
+    rows = common.written(signatures(docs), "signatures")
+    classes = common.written(rows.groupBy("th").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")), "texts")
+    by_fp = common.written(classes.groupBy("fp").agg(F.min("th").alias("least")), "fingerprints")
+    ends = [by_fp.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_th")) for c in ("src", "dst")]
+    links = link(by_fp.select("fp"), radius).join(ends[0], "src").join(ends[1], "dst").select(F.col("src_th").alias("src"), F.col("dst_th").alias("dst"))
+    equal = classes.join(by_fp, "fp").where("th <> least").select(F.col("th").alias("src"), F.col("least").alias("dst"))
+    parts = common.components(links.unionByName(equal).unionByName(similar(docs, classes)), "near")
+    roots = classes.join(parts, classes.th == parts.id, "left").select(F.coalesce("root", "th").alias("root"), "first")
+    kept = roots.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
+    return docs.withColumn("__row", common.row_key()).join(kept, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")

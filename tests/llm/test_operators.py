@@ -373,6 +373,36 @@ def test_keep_one(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [2, 5, 8]
 
 
+def plain_similar(texts):
+    """Pairs of texts whose sets of five-word shingles have a similarity of 0.8 or more."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    return [(i, j) for i, j in combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j]) > 0]
+
+
+def test_keep_one_of_similar(spark):
+    rng = random.Random(9)
+    texts = [words(rng, n, 10**6) for n in [2, 4, 5, 6, 40, 60, 90, 150, 400, 900] * 3]
+    for t in texts[:]:
+        for changes in (1, 2, 3):  # on both sides of 0.8
+            w = t.split()
+            for _ in range(max(1, len(w) * changes // 100)):
+                w[rng.randrange(len(w))] = f"new{rng.random()}"
+            texts.append(" ".join(w))
+    pairs = plain_similar(texts)
+    fps = [plain_fingerprint(t) for t in texts]
+    far = [(i, j) for i, j in pairs if (fps[i] ^ fps[j]).bit_count() > 4]
+    assert len(far) > 30
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, j in pairs + [(i, j) for i, j in combinations(range(len(texts)), 2) if (fps[i] ^ fps[j]).bit_count() <= 4]:
+            root[i] = root[j] = min(root[i], root[j])
+    got = sorted(r["doc_id"] for r in simhash.keep_one(documents(spark, texts)).collect())
+    assert got == sorted(set(root))
+
+
 # 8 and 10 ------------------------------------------------------------------------------------------------------------
 
 
