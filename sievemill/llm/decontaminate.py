@@ -244,6 +244,7 @@ def contamination_digest(found: DataFrame) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs that hold no window of any item, with their columns; rows without doc_id are judged by their text too."""
-    hits = find_contamination(docs, bench, window).where("n_hit > 0 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti")
+    """The rows of docs that hold no window of any item, with their columns; each row is judged by its own text."""
+    keyed = docs.withColumn("__row", common.row_key())
+    hits = find_contamination(keyed.select(F.col("__row").alias("doc_id"), "text"), bench, window).where("n_hit > 0").select(F.col("doc_id").alias("__row")).distinct()
+    return keyed.join(hits, "__row", "left_anti").drop("__row")

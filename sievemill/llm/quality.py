@@ -86,8 +86,8 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack([np.log1p(size), np.log1p(words), _per(ends - starts, edge) / n_w, upper / np.maximum(letters, 1), count(_DIGIT[data]) / n_c, count(_MARK[data]) / n_c, count(_ODD[data]) / n_c, count(data >= 0x80) / n_c, np.log1p(words / np.maximum(lines, 1)), distinct / n_w, _per(same, edge) / n_w, 1 - pairs / n_w, 1 - l_distinct / np.maximum(lines, 1), top / n_w, _per(in_word == ends - starts, edge) / n_w, short / n_w, _per(last, edge) / n_w, _per(uppers[ends] - uppers[starts] > 1, edge) / n_w], 1)
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, x): the statistics of each row of docs(doc_id, text)."""
+def document_statistics(docs: DataFrame, rows: bool = False) -> DataFrame:
+    """(doc_id, x): the statistics of each row of docs(doc_id, text); with `rows` also row, the key of the row."""
     common.prepare(docs.sparkSession)
 
     def run(batches):
@@ -95,9 +95,11 @@ def document_statistics(docs: DataFrame) -> DataFrame:
             data, offsets = common.utf8(batch.column(1))
             for a, b in common.pieces(offsets, 1 << 20):
                 x = statistics(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))], names=["doc_id", "x"])
+                key = [batch.column(k).slice(a, b - a) for k in range(2, batch.num_columns)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())), *key], names=["doc_id", "x", "row"][: 2 + len(key)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
+    key = [common.row_key().alias("row")] if rows else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *key).mapInArrow(run, "doc_id long, x array<double>" + ", row long" * rows)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -192,16 +194,17 @@ def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, score) of every row of docs(doc_id, text); score: how likely labels' quality is 1."""
-    stats = common.written(document_statistics(docs), "statistics")
+def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rows: bool = False) -> DataFrame:
+    """(doc_id, score) of every row of docs(doc_id, text), with `rows` also row; score: how likely labels' quality is 1."""
+    stats = common.written(document_statistics(docs, rows), "statistics")
     model = fit(stats, labels, sample)
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch.column(1))))], names=["doc_id", "score"])
+            key = [batch.column(k) for k in range(2, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch.column(1)))), *key], names=["doc_id", "score", "row"][: 2 + len(key)])
 
-    return stats.mapInArrow(run, "doc_id long, score double")
+    return stats.mapInArrow(run, "doc_id long, score double" + ", row long" * rows)
 
 
 def quality_digest(scores: DataFrame) -> DataFrame:
@@ -209,6 +212,6 @@ def quality_digest(scores: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier does not reject."""
-    bad = quality_scores(docs, labels).where("score < 0.5 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """The rows of docs that the classifier does not reject; each row is judged by its own text."""
+    bad = quality_scores(docs, labels, rows=True).where("score < 0.5").select(F.col("row").alias("__row")).distinct()
+    return docs.withColumn("__row", common.row_key()).join(bad, "__row", "left_anti").drop("__row")

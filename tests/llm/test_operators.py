@@ -510,6 +510,25 @@ def test_feistel_is_a_permutation(spark):
     assert {(r[0]["l"], r[0]["r"]) for r in got} == {(a, b) for a in range(7) for b in range(11)}
 
 
+# Filters by row ------------------------------------------------------------------------------------------------------
+
+
+def test_filters_judge_each_row(spark):
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    docs = documents(spark, ["x a b c", "x a b", "a b c", "q"], [1, 1, None, None])
+    assert sorted(r["text"] for r in decontaminate.remove_contaminated(docs, bench).collect()) == ["q", "x a b"]
+    far = [words(random.Random(k), 30, 10**6) for k in range(3)]
+    docs = documents(spark, [far[0], far[0], far[1], far[0], far[2], far[2], None], [1, 1, 1, None, None, None, None])
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in simhash.keep_one(docs).collect()) == sorted([("1", far[0]), ("1", far[1]), ("None", far[2]), ("None", "None")])
+    sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    text = {r["doc_id"]: r["text"] for r in sf.collect()}
+    score = {r["doc_id"]: r["score"] for r in quality.quality_scores(sf, labels).collect()}
+    bad, good = (text[f(score, key=score.get)] for f in (min, max))
+    more = sf.unionByName(documents(spark, [bad, good, bad, good], [-1, -1, None, None]))
+    assert [(r["doc_id"], r["text"]) for r in quality.keep_good(more, labels).where("doc_id = -1 or doc_id is null").orderBy("doc_id").collect()] == [(None, good), (-1, good)]
+
+
 # Pipeline ------------------------------------------------------------------------------------------------------------
 
 
