@@ -129,8 +129,8 @@ def _spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[which]
 
 
-def shard_hits(codes: np.ndarray, counts: np.ndarray, blocks) -> dict[str, list]:
-    """What blocks of tests find in the texts of a shard: a row for each text."""
+def shard_hits(codes: np.ndarray, counts: np.ndarray, blocks, window: int = WINDOW) -> dict[str, list]:
+    """What blocks of tests, of windows of at most `window` words, find in the texts of a shard: a row for each text."""
     n_docs, total = len(counts), int(counts.sum())
     # A zero between two texts, which no test word equals, keeps matches inside a text.
     first = np.cumsum(counts) - counts + np.arange(n_docs)
@@ -141,7 +141,7 @@ def shard_hits(codes: np.ndarray, counts: np.ndarray, blocks) -> dict[str, list]
     order = None
     for t in blocks:
         if order is None:
-            order = suffix_array(line, 1 << 4)
+            order = suffix_array(line, window)
         lo, hi = search(line, order, t.codes, t.begin, t.length, t.want)
         win, slot = _spans(lo, hi)
         where, width = order[slot], t.want[win]
@@ -218,7 +218,7 @@ def find_contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW)
         def flush():
             nonlocal ids, codes, counts, n
             if ids:
-                r = shard_hits(np.concatenate(codes), np.concatenate(counts), load())
+                r = shard_hits(np.concatenate(codes), np.concatenate(counts), load(), window)
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(r["n_words"]), pa.array(r["n_hit"]), r["items"], *map(pa.array, r["longest"])], schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.int64())), *((f"longest_{k}", pa.int64()) for k in ("words", "start", "item", "item_start"))]))
             ids, codes, counts, n = [], [], [], 0
 

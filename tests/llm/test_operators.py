@@ -82,6 +82,14 @@ def test_contamination_edges(spark):
     assert sorted(str(r["doc_id"]) for r in decontaminate.remove_contaminated(docs, bench).collect()) == ["2", "None"]
 
 
+def test_contamination_of_long_windows(spark):
+    rng = random.Random(4)
+    texts = [f"{words(random.Random(0), 17)} {words(rng, 5, 10**6)}" for _ in range(40)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    got = decontaminate.find_contamination(documents(spark, texts), items, window=22).orderBy("doc_id").collect()
+    assert [(r["n_hit"], r["item_ids"]) for r in got] == [(22, [k]) for k in range(40)]
+
+
 def test_suffix_array():
     rng = np.random.default_rng(3)
     codes = rng.integers(1, 4, 400).astype(np.uint64)
