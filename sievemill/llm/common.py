@@ -35,10 +35,12 @@ def prepare(spark: SparkSession) -> None:
 def result_dir(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and all executors share, under spark.checkpoint.dir.
 
-    Only where that setting is absent (a local test session) a temporary folder of this machine is used.
+    Only where that setting is absent and the session is local a temporary folder of this machine is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="sievemill-"))
             atexit.register(shutil.rmtree, _own_dir[0], True)
@@ -116,22 +118,6 @@ def pieces(offsets: np.ndarray, limit: int = 1 << 20):
         at = to
 
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_PI = np.uint64(pow(int(_P), -1, 2**64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _grow(n: int) -> None:
-    if len(_powers[0]) < n + 1:
-        size = max(n + 1, 1 << 16)
-        for k, base in enumerate((_P, _PI)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread 64-bit values; a bijection."""
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -139,13 +125,28 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: Masks of the lowest 0 to 8 bytes.
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every data[start:end], from one prefix sum over the bytes; 0 is never returned."""
-    _grow(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers[0][: len(data)], out=sums[1:])
-    h = mix((sums[ends] - sums[starts]) * _powers[1][starts])
-    return np.maximum(h, np.uint64(1))
+    """A 64-bit hash of every data[start:end]; 0 is never returned.
+
+    Eight bytes at a time are mixed with their place, and the results added and mixed with the length. No step is
+    linear in the bytes, so texts of a regular build don't collide as they do for a polynomial modulo 2**64.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    words = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from every place on
+    n = np.maximum((ends - starts + 7) >> 3, 1)
+    first = np.cumsum(n) - n
+    k = np.arange(int(first[-1] + n[-1])) - np.repeat(first, n)
+    at = np.repeat(starts, n) + 8 * k
+    w = words[at] & _BYTES[np.clip(np.repeat(ends, n) - at, 0, 8)]
+    h = np.add.reduceat(mix(mix(w + np.uint64(0x9E3779B97F4A7C15)) ^ (k.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)), first)
+    return np.maximum(mix(h ^ (ends - starts).astype(np.uint64) * np.uint64(0x165667B19E3779F9)), np.uint64(1))
 
 
 def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,15 +165,16 @@ def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(mask & ~before), np.flatnonzero(mask & ~after) + 1
 
 
-def components(edges: DataFrame, name: str, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of edges (src, dst: orderable, src != dst): a row (id, root) per vertex, root the smallest.
 
     Alternating large-star and small-star rounds; each is one grouped pass over the edges, written to the shared
-    folder, so that lineage stays short. Nothing is gathered on the driver but a count and a checksum a round.
+    folder, so that lineage stays short. It ends with the first round that leaves the set of edges as it is: equal
+    counts and sums of hashes, and then no edge that the round before lacks. Nothing else is gathered on the driver.
     A hot vertex only takes part in partial minima and hash joins, never in a collected list.
     """
     now, seen = written(edges.select("src", "dst").distinct(), f"{name}-edges"), None
-    for _ in range(rounds):
+    while True:
         # Large star: every neighbour that is larger than u goes to the least of u and its neighbours.
         both = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
@@ -180,9 +182,8 @@ def components(edges: DataFrame, name: str, rounds: int = 40) -> DataFrame:
         # Small star: u and its smaller neighbours go to the least of them.
         low = large.groupBy("src").agg(F.min("dst").alias("m"))
         small = large.join(low, "src").select(F.explode(F.array(F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")), F.struct("src", F.col("m").alias("dst")))).alias("e")).select("e.*").where("src <> dst").distinct()
-        now = written(small, f"{name}-edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst") % 1000003)).first()
-        if state == seen:
+        before, now = now, written(small, f"{name}-edges")
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
+        if state == seen and now.join(before, ["src", "dst"], "left_anti").isEmpty():
             return now.select(F.col("src").alias("id"), F.col("dst").alias("root")).unionByName(now.select(F.col("dst").alias("id"), F.col("dst").alias("root")).distinct())
         seen = state
-    raise RuntimeError("components did not settle")

@@ -180,27 +180,72 @@ def test_chat(spark, monkeypatch, batch_rows):
 # 5 -------------------------------------------------------------------------------------------------------------------
 
 
+def plain_runs(lines):
+    """The shortest runs of lines of five words or more from each line on and up to each line: (first, last) in lines."""
+    size = [len(x.split()) for _, x in lines]
+    out = set()
+    for k in range(len(lines)):
+        for step in (1, -1):
+            at, n = k, size[k]
+            while n < 5 and 0 <= at + step < len(lines):
+                at += step
+                n += size[at]
+            if n >= 5:
+                out.add((min(k, at), max(k, at)))
+    return out
+
+
+def plain_patience(runs, b0, b1, a0, a1):
+    """Aligned (later, earlier) places of runs {text: (later places, earlier places)} strictly within the bounds."""
+    inside = {}
+    for t, (bs, as_) in runs.items():
+        bs, as_ = [x for x in bs if b0 < x < b1], [x for x in as_ if a0 < x < a1]
+        if bs and as_:
+            inside[t] = bs, as_
+    unique = sorted({(bs[0], -as_[0]) for bs, as_ in inside.values() if len(bs) == len(as_) == 1})
+    if not unique:
+        out, last = [], (b0, a0)
+        for b in sorted({b for bs, _ in inside.values() for b in bs}):
+            after = [a for bs, as_ in inside.values() if b in bs for a in as_ if a > last[1]]
+            first = [min((a for a in as_ if a > last[1]), default=None) for bs, as_ in sorted(inside.values(), key=lambda x: x[1]) if b in bs]
+            first = [a for a in first if a is not None]
+            if after:
+                last = (b, first[0])
+                out.append(last)
+        return out
+    # A longest chain; of several the one whose last place in the earlier document is least, and so on backwards.
+    best = []
+    for k, (b, a) in enumerate(unique):
+        back = [j for j in range(k) if -unique[j][1] < -a and unique[j][0] < b]
+        most = max((best[j][0] for j in back), default=0)
+        best.append((most + 1, min((j for j in back if best[j][0] == most), key=lambda j: (-unique[j][1], -j), default=None)))
+    top = max(n for n, _ in best)
+    k, chain = min((j for j in range(len(best)) if best[j][0] == top), key=lambda j: (-unique[j][1], -j)), []
+    while k is not None:
+        chain.append((unique[k][0], -unique[k][1]))
+        k = best[k][1]
+    chain = [(b0, a0), *chain[::-1], (b1, a1)]
+    rest = {t: x for t, x in inside.items() if not len(x[0]) == len(x[1]) == 1}
+    return chain[1:-1] + [m for (p, q), (r, s) in zip(chain, chain[1:]) for m in plain_patience(rest, p, r, q, s)]
+
+
 def plain_line_dedup(texts):
-    """Lines of an earlier document, in blocks of five words or more, go."""
-    seen, out = {}, []
-    for i, t in enumerate(texts):
-        for line in (t or "").split("\n"):
-            if line.split():
-                seen.setdefault(line, i)
+    """Every later document against every earlier one, over the runs that no document before that one holds."""
+    lines = [[(k, x) for k, x in enumerate((t or "").split("\n")) if x.split()] for t in texts]
+    held, out, seen = [], [], set()
     for i, t in enumerate(texts):
-        if t is None:
-            out.append((None, 0))
-            continue
-        lines = t.split("\n")
-        run, drop = [], set()
-        for k, line in [*((k, x) for k, x in enumerate(lines) if x.split()), (None, None)]:
-            if k is not None and seen[line] < i:
-                run.append(k)
-                continue
-            if sum(len(lines[x].split()) for x in run) >= 5:
-                drop.update(run)
-            run = []
-        out.append(("\n".join(x for k, x in enumerate(lines) if k not in drop), len(drop)))
+        mine = {}
+        for a, b in sorted(plain_runs(lines[i])):
+            mine.setdefault("\n".join(x for _, x in lines[i][a : b + 1]), []).append((lines[i][a][0], [k for k, _ in lines[i][a : b + 1]]))
+        drop = set()
+        for old in held:
+            runs = {x: ([p for p, _ in mine[x]], [p for p, _ in old[x]]) for x in mine if x in old}
+            match = set(plain_patience(runs, -1, 10**9, -1, 10**9))
+            for x, (_, as_) in runs.items():
+                drop.update(k for p, ks in mine[x] if any((p, a) in match for a in as_) for k in ks)
+        held.append({x: v for x, v in mine.items() if x not in seen})
+        seen |= mine.keys()
+        out.append((None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop), len(drop)))
     return out
 
 
@@ -214,54 +259,44 @@ def test_line_dedup(spark):
             lines.insert(rng.randrange(len(lines)), "")
         texts.append("\n".join(lines + ([lines[0]] * 3 if rng.random() < 0.2 else [])))
     texts += [texts[10], texts[11] + "\n", "\n".join(reversed(texts[12].split("\n")))]
-    docs = documents(spark, texts).withColumn("drop", F.lit("clash")).withColumn("th", F.lit(0))
+    pool = [words(rng, rng.choice([1, 2, 3, 6])) for _ in range(12)]
+    texts += ["\n".join(rng.choice(pool) if rng.random() < 0.8 else "" for _ in range(rng.randrange(1, 12))) for _ in range(120)]
+    texts += ["\n".join(rng.choice(pool) for _ in range(3000))]
+    clash = {"drop": F.lit("clash"), "th": F.lit(0), "id": F.lit(1), "doc": F.lit("d"), "__id": F.lit(5), "__th": F.lit(6), "__drop": F.lit(True), "removed_lines": F.lit(-1)}
+    docs = documents(spark, texts).withColumns(clash)
     got = line_dedup.dedup_lines(docs).orderBy("doc_id").collect()
     assert [(r["text"], r["removed_lines"]) for r in got] == plain_line_dedup(texts)
-    assert got[0].asDict().keys() == {*docs.columns, "removed_lines"}
+    assert sorted(got[0].asDict()) == sorted(docs.columns)
+    assert (got[0]["__id"], got[0]["__th"], got[0]["__drop"], got[0]["doc"], got[0]["id"]) == (5, 6, True, "d", 1)
 
 
-def plain_blocks(texts):
-    """Lines go that lie, with their neighbours, in five words or more that follow each other in one earlier document."""
-    lines = [[(k, x) for k, x in enumerate((t or "").split("\n")) if x.split()] for t in texts]
-    out = []
-    for i, t in enumerate(texts):
-        drop = set()
-        for old in lines[:i]:
-            for a in range(len(lines[i])):
-                for b in range(len(old)):
-                    n = 0
-                    while a + n < len(lines[i]) and b + n < len(old) and lines[i][a + n][1] == old[b + n][1]:
-                        n += 1
-                    if sum(len(x.split()) for _, x in lines[i][a : a + n]) >= 5:
-                        drop.update(k for k, _ in lines[i][a : a + n])
-        out.append((None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop), len(drop)))
-    return out
-
-
-def test_line_dedup_one_holder(spark):
-    one, two, three = "a1 a2 a3", "b1 b2 b3", "c1 c2 c3"
-    rng = random.Random(6)
-    pool = [words(rng, rng.choice([1, 2, 3, 6])) for _ in range(12)]
+def test_line_dedup_alignment_decides(spark):
+    one, two, three = (f"{c}1 {c}2 {c}3" for c in "abc")
+    long = [words(random.Random(k), 8, 10**6) for k in range(5)]
     texts = [
         "\n".join([one, two, three]),
-        "\n".join([three, two, one]),  # another order: no two lines follow each other there
+        "\n".join([three, two, one]),  # reversed short lines: no two lines follow each other there
         "\n".join([one, "mine alone here now ok", one, "", two, "", three]),  # blank lines don't end a block
         "x1 x2 x3\ny1 y2 y3",
         "\n".join([one, "x1 x2 x3", two, "y1 y2 y3"]),  # short lines of two holders
         "\n".join(["z1 z2 z3", one]),
         "\n".join(["z1 z2 z3", one]),  # the first holder of its last line lacks the block
-        None,
+        "\n".join(long),
+        "\n".join([long[3], *long[:3], long[4]]),  # a line that crosses the others stays
+        "\n".join(reversed(long)),  # of a reversed document one line is aligned
+        *[f"s{k} s" for k in range(5)],
+        "\n".join(f"s{k} s" for k in range(5)),  # five lines of five documents
     ]
-    texts += ["\n".join(rng.choice(pool) if rng.random() < 0.8 else "" for _ in range(rng.randrange(1, 9))) for _ in range(60)]
-    got = [(r["text"], r["removed_lines"]) for r in line_dedup.dedup_lines(documents(spark, texts), one_holder=True).orderBy("doc_id").collect()]
-    assert got == plain_blocks(texts)
-    assert [t for t, _ in got[:7]] == [texts[0], texts[1], f"{one}\nmine alone here now ok\n\n", texts[3], texts[4], texts[5], ""]
+    got = [(r["text"], r["removed_lines"]) for r in line_dedup.dedup_lines(documents(spark, texts)).orderBy("doc_id").collect()]
+    assert got == plain_line_dedup(texts)
+    assert [t for t, _ in got[:9]] == [texts[0], texts[1], f"{one}\nmine alone here now ok\n\n", texts[3], texts[4], texts[5], "", texts[7], long[3]]
+    assert [n for _, n in got[9:]] == [1, 0, 0, 0, 0, 0, 0]
 
 
-def test_op5_keeps_what_no_block_holds(spark, tmp_path):
-    texts = ["a1 a2 a3\nb1 b2 b3", "b1 b2 b3\na1 a2 a3"]
-    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
-    assert [r["removed_lines"] for r in llm.QUERIES["op5_line_dedup"](spark, str(tmp_path)).orderBy("doc_id").collect()] == [0, 0]
+def test_line_dedup_whole_table(spark):
+    rows = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    got = [(r["text"], r["removed_lines"]) for r in line_dedup.dedup_lines(spark.read.parquet(f"{SF}/documents.parquet")).orderBy("doc_id").collect()]
+    assert got == plain_line_dedup([t for _, t in rows])
 
 
 def test_line_dedup_edges(spark):
@@ -272,9 +307,25 @@ def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
 
 
-def test_patience_keeps_order_first():
-    # The earlier document has 1..5; the later one holds them with 4 moved to the front: the chain leaves 4 for a second pass.
-    assert sorted(line_dedup.patience([([k + 1], [k]) for k in (1, 2, 3, 5)] + [([0], [4])])) == [0, 2, 3, 4, 6]
+def test_patience_keeps_the_order():
+    # The earlier document has 1..5; the later one holds them with 4 moved to the front, where it stays.
+    assert line_dedup.patience([([k + 1], [k]) for k in (1, 2, 3, 5)] + [([0], [4])]) == {(2, 1), (3, 2), (4, 3), (6, 5)}
+
+
+def test_hashes_of_regular_texts_differ():
+    for n in (1 << 10, 1 << 13):
+        a = np.array([bin(k).count("1") & 1 for k in range(n)], np.uint8) + 0x61
+        text = np.concatenate([a, 0xC3 - a])
+        h = common.slice_hashes(text, np.array([0, n, 0, 3, n]), np.array([n, 2 * n, n, 3, 2 * n - 1]))
+        assert h[0] != h[1] and h[0] == h[2] and h[1] != h[4] and h[3] != 0
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 100, 5000).astype(np.uint8)
+    starts = rng.integers(0, 4990, 4000)
+    ends = np.minimum(starts + rng.integers(0, 40, 4000), 5000)
+    by = {}
+    for x, y, h in zip(starts, ends, common.slice_hashes(data, starts, ends), strict=True):
+        assert by.setdefault(h, bytes(data[x:y])) == bytes(data[x:y])
+    assert len(by) == len(set(by.values()))
 
 
 # 6 -------------------------------------------------------------------------------------------------------------------
