@@ -102,30 +102,87 @@ def test_suffix_array():
 # 2 -------------------------------------------------------------------------------------------------------------------
 
 
+def plain_nearest(ids, x, queries, k=5):
+    """{query: (scores of the k nearest, their ids)}, by the whole product."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    out = {}
+    for q in queries:
+        s = x @ x[q]
+        s[q] = -2
+        by = np.lexsort((ids, -s.round(12)))[:k]
+        out[ids[q]] = s[by], list(ids[by])
+    return out
+
+
+def recall(got, ids, x):
+    best = plain_nearest(ids, x, np.flatnonzero(ids % 50 == 0))
+    hits = 0
+    for q, (scores, near) in best.items():
+        mine = got[got.query_id == q].sort_values("rank")
+        assert list(mine["rank"]) == [1, 2, 3, 4, 5] and list(mine.score) == sorted(mine.score, reverse=True)
+        hits += len(set(near) & set(mine.vec_id))
+        if set(near) == set(mine.vec_id):
+            assert np.allclose(mine.score, scores, atol=1e-12)
+    assert set(got.query_id) == set(best)
+    return hits / (5 * len(best))
+
+
 def test_nearest(spark):
     v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = v.select("vec_id", "embedding").collect()
     ids = np.array([r[0] for r in rows])
-    x = np.array([r[1] for r in rows], float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    got = neighbours.nearest(v).toPandas()
-    hits = total = 0
-    for q in np.flatnonzero(ids % 50 == 0):
-        s = x @ x[q]
-        s[q] = -2
-        best = set(ids[np.lexsort((ids, -s))[:5]])
-        mine = got[got.query_id == ids[q]].sort_values("rank")
-        assert list(mine["rank"]) == [1, 2, 3, 4, 5] and list(mine.score) == sorted(mine.score, reverse=True)
-        assert np.allclose(mine.score, [s[np.flatnonzero(ids == i)[0]] for i in mine.vec_id], atol=1e-12)
-        hits, total = hits + len(best & set(mine.vec_id)), total + 5
-    assert hits / total >= 0.9
+    assert recall(neighbours.nearest(v.withColumns({"code": F.lit(1), "u": F.lit(2), "part": F.lit(3), "value": F.lit(4)})).toPandas(), ids, np.array([r[1] for r in rows], float)) >= 0.9
+
+
+def clusters(rng, n, of, noise, width=48):
+    centers = rng.standard_normal((n // of, width)) + 0.5
+    return np.repeat(centers, of, axis=0) + noise * rng.standard_normal((n // of * of, width))
+
+
+def test_nearest_probe_answers_near_copies(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.vstack([clusters(rng, 3000, 10, 0.02), clusters(rng, 600, 300, 0.01), clusters(rng, 400, 1, 1.0)])
+    x[100:120] = x[100]  # copies: ties go to the smaller id
+    ids = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df).toPandas()
+    assert recall(got, ids, x) >= 0.97
+    coder = neighbours.Coder(neighbours.unit(x), 5, len(x))
+    table = neighbours.coded(neighbours.usable(df), coder)
+    queries = table.where("vec_id % 50 = 0")
+    probed = neighbours.probe(table, queries, coder, 5).select("query_id").distinct().count()
+    assert probed >= 0.6 * queries.count()
+    # Buckets that are left out send their queries to the blocks, with the same rows found.
+    monkeypatch.setattr(neighbours, "BUCKET", 5)
+    assert recall(neighbours.nearest(df).toPandas(), ids, x) >= 0.97
+    assert neighbours.probe(table, queries, coder, 5).select("query_id").distinct().count() < probed
+
+
+def test_index_finds_the_whole_ball():
+    rng = np.random.default_rng(3)
+    x = neighbours.unit(np.vstack([clusters(rng, 500, 10, 0.1), clusters(rng, 300, 1, 1.0)]))
+    coder = neighbours.Coder(x, 5, len(x))
+    index, codes = neighbours.Index(np.arange(800), x, coder), coder.code(x)
+    monkey = coder.reach.copy()
+    coder.reach[:] = 2  # never certain: the radius grows to its end
+    for radius in (0, 3, 4, 9, 20):
+        got, scored = index.search(np.arange(0, 800, 7), x[::7], 800, radius)
+        far = np.bitwise_count(codes[::7, None] ^ codes[None, :]) <= radius
+        far[np.arange(len(far)), np.arange(0, 800, 7)] = False
+        want = {(int(q) * 7, int(j)) for q, j in zip(*np.nonzero(far), strict=True)}
+        assert set(zip(got[0].tolist(), got[1].tolist(), strict=True)) == want
+        assert scored == len(want)
+    coder.reach = monkey
+    _, all_ = index.search(np.arange(0, 500, 7), x[:500:7], 5, coder.radius)
+    assert all_ < 0.4 * 72 * 800  # floats are read for what is probed
 
 
 def test_nearest_edges(spark):
     nan = float("nan")
-    rows = [(0, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (50, [0.0, 1.0], 0), (3, None, 0), (4, [0.0, 0.0], 0), (5, [nan, 1.0], 0), (6, [None, 1.0], 0), (7, [float("inf"), 1.0], 0), (100, [1.0], 0), (None, [1.0, 1.0], 0), (8, [], 0)]
+    rows = [(0, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (50, [0.0, 1.0], 0), (3, None, 0), (4, [0.0, 0.0], 0), (5, [nan, 1.0], 0), (6, [None, 1.0], 0), (7, [float("inf"), 1.0], 0), (100, [1.0], 0), (None, [1.0, 1.0], 0), (8, [], 0), (50, [0.5, 1.0], 1), (2, [1.0, 0.0], 0)]
     got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(0, 1, 1), (0, 2, 2), (0, 3, 50), (50, 1, 0), (50, 2, 1), (50, 3, 2)]
+    assert [r["score"] for r in got] == [1, 1, 0, 0, 0, 0]  # of two vectors with an id the lesser one counts
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
