@@ -93,6 +93,30 @@ def row_key():
     return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), text_key())
 
 
+def whole_row(docs: DataFrame):
+    """All columns of docs as one, which leaves every name free."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs without those rows whose row_key() is in rows(row)."""
+    return docs.select(row_key().alias("row"), whole_row(docs).alias("doc")).join(rows, "row", "left_anti").select("doc.*")
+
+
+#: A key with more than this share of all rows is hot; there are fewer of them than its inverse, so that they can be broadcast.
+HOT_SHARE = 1000
+
+
+def split_join(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined with table(key, count, ...), which has a row for each key and how many of `total` rows have it.
+
+    The rows of hot keys meet the table by a broadcast of those keys (fewer than HOT_SHARE), all others by a shuffle.
+    """
+    hot = table.where(F.col(count) * HOT_SHARE > total)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(count) * HOT_SHARE <= total), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a text or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -2,18 +2,19 @@
 
 Every task takes its share of the documents in shards of bounded size, builds a suffix array over the words of each
 shard, and binary-searches every suffix of the test items in it, word by word. The interval of a suffix at a window's
-length gives all places of that window; chained along their diagonals they give the longest verbatim matches.
-No document text is shuffled, and the only thing sent to tasks is the test set, in blocks of a fixed size.
+length gives all places of that window; chained along their diagonals they give the longest verbatim matches (those
+of fewer words than a window are none). No document text is shuffled. The test set is prepared in tasks, as blocks of a
+fixed size that are written to the shared folder; a single block goes along with the tasks, more are read by them.
 
-Defined results: null or wordless texts have no words and no hits; an item without words is ignored; repeated rows
-each get their own result; an empty benchmark or table gives rows without hits or no rows; extra columns are ignored,
-whatever their names.
+Defined results: ids are whole numbers; null or wordless texts have no words and no hits; an item without words, text or
+id is ignored; repeated rows each get their own result; a very long text makes a shard of its own; an empty benchmark
+or table gives rows without hits or no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 import pickle
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +24,15 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words in a window, words in a shard (about 200 MB of arrays), words in a block of test items that a task closure holds.
-WINDOW, SHARD_WORDS, BLOCK_WORDS = 10, 1_000_000, 500_000
+#: Words in a window, words in a shard (about 200 MB of arrays), bytes of text in a block of test items (its arrays take some ten times that).
+WINDOW, SHARD_WORDS, BLOCK_BYTES = 10, 1_000_000, 2 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[0x30:0x3A] = _IS_WORD[0x61:0x7B] = _IS_WORD[0x80:] = True
 
-SCHEMA = "doc_id long, n_words long, n_hit long, item_ids array<long>, longest_words long, longest_start long, longest_item long, longest_item_start long, row_no long"
+SCHEMA = "doc_id long, n_words long, n_hit long, item_ids array<long>, longest_words long, longest_start long, longest_item long, longest_item_start long"
 
 
 def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,23 +101,26 @@ def search(codes: np.ndarray, order: np.ndarray, tests: np.ndarray, begin: np.nd
 class Tests:
     """A block of test items as one array of word codes with the windows to look for."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int):
-        data, offsets = common.utf8(pa.array([t for _, t in items], pa.string()))
+    def __init__(self, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, window: int):
         codes, counts = word_codes(data, offsets)
         first = np.cumsum(counts) - counts
         width = np.minimum(counts, window)
         n_win = np.where(counts > 0, counts - width + 1, 0)
-        item = np.repeat(np.arange(len(items)), n_win)
+        item = np.repeat(np.arange(len(ids)), n_win)
         place = np.arange(n_win.sum()) - np.repeat(np.cumsum(n_win) - n_win, n_win)
-        self.codes, self.ids = codes, np.array([i for i, _ in items], np.int64)
-        begin = first[item] + place
-        # Equal windows are looked for once: group by a hash of the window, split by the words themselves.
-        keys = {}
+        self.codes, self.ids = codes, ids
+        begin, size = first[item] + place, width[item]
+        # Equal windows are looked for once: of each length, they are grouped by their words.
         self.of = np.zeros(len(begin), np.int64)
-        for k, (b, w) in enumerate(zip(begin.tolist(), width[item].tolist(), strict=True)):
-            self.of[k] = keys.setdefault(codes[b : b + w].tobytes(), len(keys))
+        groups = 0
+        for w in np.unique(size).tolist():
+            at = np.flatnonzero(size == w)
+            words = np.ascontiguousarray(codes[begin[at][:, None] + np.arange(w)]).view(f"V{8 * w}").ravel()
+            _, inverse = np.unique(words, return_inverse=True)
+            self.of[at] = groups + inverse
+            groups += int(inverse.max()) + 1
         one = np.unique(self.of, return_index=True)[1] if len(begin) else np.zeros(0, np.int64)
-        self.begin, self.want, self.item, self.place = begin[one], width[item][one], item, place
+        self.begin, self.want, self.item, self.place = begin[one], size[one], item, place
         self.length = self.want.copy()
         by = np.argsort(self.of, kind="stable")
         self.members, self.member_from = by, np.searchsorted(self.of[by], np.arange(len(one) + 1))
@@ -177,22 +181,49 @@ def shard_hits(codes: np.ndarray, counts: np.ndarray, blocks, window: int = WIND
     return {"n_words": counts, "n_hit": n_hit, "items": pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(pairs[:, 1], pa.int64())), "longest": longest}
 
 
-def _blocks(bench: DataFrame, window: int) -> tuple[list, bool]:
-    """The test items as blocks of bounded size: the first in memory, further ones as files of the shared folder."""
-    spark, out, items, words = bench.sparkSession, [], [], 0
-    base = None
-    for r in bench.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").toLocalIterator():
-        items.append((r[0], r[1]))
-        words += len(r[1]) // 2 + 1
-        if words > 8 * BLOCK_WORDS:
-            base = base or common.work_dir(spark, "tests")
-            fs, path = pafs.FileSystem.from_uri(base)
-            fs.create_dir(path)
-            with fs.open_output_stream(f"{path}/{len(out)}") as f:
-                f.write(pickle.dumps(Tests(items, window)))
-            out.append(f"{base}/{len(out)}")
-            items, words = [], 0
-    return out + ([Tests(items, window)] if items else []), base is not None
+def _blocks(bench: DataFrame, window: int) -> list:
+    """The test items as blocks of bounded size: a single one in memory, more as files of the shared folder."""
+    base = common.work_dir(bench.sparkSession, "tests")
+
+    def run(batches):
+        fs, root = pafs.FileSystem.from_uri(base)
+        fs.create_dir(root)
+        held, size = [], 0
+
+        def put():
+            nonlocal held, size
+            if held:
+                ids, texts = (pa.concat_arrays([b.column(k) for b in held]) for k in (0, 1))
+                name = f"{uuid.uuid4().hex}"
+                with fs.open_output_stream(f"{root}/{name}") as f:
+                    f.write(pickle.dumps(Tests(ids.to_numpy(), *common.utf8(texts), window)))
+                yield pa.RecordBatch.from_arrays([pa.array([name])], names=["block"])
+                held, size = [], 0
+
+        for batch in batches:
+            _, offsets = common.utf8(batch.column(1))
+            for a, b in common.pieces(offsets, BLOCK_BYTES):
+                if size + int(offsets[b] - offsets[a]) > BLOCK_BYTES:
+                    yield from put()
+                held.append(batch.slice(a, b - a))
+                size += int(offsets[b] - offsets[a])
+        yield from put()
+
+    items = bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = min(10_000, size // BLOCK_BYTES + 1)
+    # Only names of blocks come to the driver; a file that a lost task left is not among them.
+    names = [r[0] for r in items.repartition(parts).mapInArrow(run, "block string").collect()]
+    paths = [f"{base}/{name}" for name in names]
+    return [_load(paths[0])] if len(paths) == 1 else paths
+
+
+def _load(block):
+    if not isinstance(block, str):
+        return block
+    fs, path = pafs.FileSystem.from_uri(block)
+    with fs.open_input_stream(path) as f:
+        return pickle.loads(f.read())
 
 
 def find_contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -202,15 +233,7 @@ def find_contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW)
     longest_start and longest_item_start count words; -1 where there is no match.
     """
     common.prepare(docs.sparkSession)
-    blocks, _ = _blocks(bench, window)
-
-    def load():
-        for b in blocks:
-            if isinstance(b, str):
-                fs, path = pafs.FileSystem.from_uri(b)
-                with fs.open_input_stream(path) as f:
-                    b = pickle.loads(f.read())
-            yield b
+    blocks = _blocks(bench, window)
 
     def run(batches):
         ids, codes, counts, n = [], [], [], 0
@@ -218,7 +241,7 @@ def find_contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW)
         def flush():
             nonlocal ids, codes, counts, n
             if ids:
-                r = shard_hits(np.concatenate(codes), np.concatenate(counts), load(), window)
+                r = shard_hits(np.concatenate(codes), np.concatenate(counts), map(_load, blocks), window)
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(r["n_words"]), pa.array(r["n_hit"]), r["items"], *map(pa.array, r["longest"])], schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.int64())), *((f"longest_{k}", pa.int64()) for k in ("words", "start", "item", "item_start"))]))
             ids, codes, counts, n = [], [], [], 0
 
@@ -234,7 +257,7 @@ def find_contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW)
                     yield from flush()
         yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA.replace(", row_no long", ""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def contamination_digest(found: DataFrame) -> DataFrame:
@@ -245,6 +268,5 @@ def contamination_digest(found: DataFrame) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs that hold no window of any item, with their columns; each row is judged by its own text."""
-    keyed = docs.withColumn("__row", common.row_key())
-    hits = find_contamination(keyed.select(F.col("__row").alias("doc_id"), "text"), bench, window).where("n_hit > 0").select(F.col("doc_id").alias("__row")).distinct()
-    return keyed.join(hits, "__row", "left_anti").drop("__row")
+    rows = docs.select(common.row_key().alias("doc_id"), "text")
+    return common.without(docs, find_contamination(rows, bench, window).where("n_hit > 0").select(F.col("doc_id").alias("row")).distinct())
