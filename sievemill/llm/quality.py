@@ -5,8 +5,10 @@ random features approximate a Gaussian kernel, each partition sums its share of
 are added. A fifth of the labelled rows is kept from the ridge fit and calibrates its scores by isotonic regression.
 
 Bound: at most SAMPLE labelled rows are fitted (those with the least hash of their id), all rows are scored.
-Defined results: null texts count as empty; a null doc_id is scored and never fitted; repeated labels of a document
-count once, by the least; without labels of both kinds every score is the share of good ones, or 0.5; extra columns are ignored.
+Defined results: null texts count as empty; a very long text is measured whole, its arrays are some forty times its size; a
+null doc_id is scored and never fitted; repeated labels of a document count once, by the least; repeated rows are each
+fitted and scored; without labels of both kinds among the fitted rows every score is the share of good ones, or 0.5 if there
+are none, and keep_good() rejects nothing; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -115,6 +117,7 @@ class Model:
         self.w = rng.standard_normal((len(center), FEATURES)) / width
         self.b = rng.uniform(0, 2 * np.pi, FEATURES)
         self.beta = np.zeros(FEATURES + 1)
+        self.fitted = False
         self.knots, self.levels = np.zeros(1), np.full(1, 0.5)
 
     def features(self, x: np.ndarray) -> np.ndarray:
@@ -125,6 +128,8 @@ class Model:
         return self.features(x) @ self.beta
 
     def score(self, x: np.ndarray) -> np.ndarray:
+        if not self.fitted:
+            return np.full(len(x), self.levels[0])
         raw = self.raw(x)
         return np.clip((1 - SLOPE) * np.interp(raw, self.knots, self.levels) + SLOPE * np.clip(raw, 0, 1), 0, 1)
 
@@ -145,7 +150,6 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from document_statistics and labels(doc_id, quality), without rows whose crc32(doc_id) mod 3 is 1."""
-    spark = stats.sparkSession
     text_id = F.col("doc_id").cast("string")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("doc_id is not null and y is not null").where(F.crc32(text_id) % 3 != 1).groupBy("doc_id").agg(F.min("y").alias("y"))
     # The bound on the sample bounds what is broadcast and every sum below.
@@ -186,18 +190,25 @@ def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     got = rows.where("calibrate").select("x", "y").mapInArrow(raw, "r double, y double").toArrow()
     r, y = got["r"].to_numpy(), got["y"].to_numpy()
-    if len(y) and 0 < y.mean() < 1:
+    good, n = b[-1] + y.sum(), a[-1, -1] + len(y)
+    model.fitted = bool(0 < good < n)
+    if not model.fitted:
+        model.levels = np.full(1, good / n)
+    elif 0 < y.sum() < len(y):
         model.knots, model.levels = isotonic(r, y)
-    else:
-        model.levels = np.full(1, b[-1] / max(1.0, a[-1, -1]))
-    del spark
+    else:  # too few rows to calibrate: the ridge score as it is
+        model.knots = model.levels = np.array([0.0, 1.0])
     return model
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rows: bool = False) -> DataFrame:
     """(doc_id, score) of every row of docs(doc_id, text), with `rows` also row; score: how likely labels' quality is 1."""
     stats = common.written(document_statistics(docs, rows), "statistics")
-    model = fit(stats, labels, sample)
+    return scored(stats, fit(stats, labels, sample), rows)
+
+
+def scored(stats: DataFrame, model: Model, rows: bool = False) -> DataFrame:
+    """(doc_id, score) of document_statistics, with `rows` also row."""
 
     def run(batches):
         for batch in batches:
@@ -212,6 +223,9 @@ def quality_digest(scores: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier does not reject; each row is judged by its own text."""
-    bad = quality_scores(docs, labels, rows=True).where("score < 0.5").select(F.col("row").alias("__row")).distinct()
-    return docs.withColumn("__row", common.row_key()).join(bad, "__row", "left_anti").drop("__row")
+    """The rows of docs that the classifier does not reject, all of them if nothing could be fitted; each row is judged by its own text."""
+    stats = common.written(document_statistics(docs, True), "statistics")
+    model = fit(stats, labels)
+    if not model.fitted:
+        return docs
+    return common.without(docs, scored(stats, model, True).where("score < 0.5").select("row").distinct())
