@@ -3,7 +3,8 @@
 Numbers that pass their format's check, dates, mail addresses and quoted hexadecimal secrets are replaced within the
 text. A number is a pair (left, right) of residues; keyed rounds add a digest of one to the other, in turn, each modulo
 its own size. That is a permutation of the format's valid values, so that equal values stay linked across documents,
-different ones stay different, and nobody without the key can go back. What fails its check stays as it is.
+different ones stay different, and nobody without the key can go back. What fails its check stays as it is. Addresses and
+secrets have no fixed format to permute; they become cut keyed digests, which keep links and all but surely differences.
 
     kind     form                                    what is permuted
     card     13 to 19 digits, Luhn check             all digits but the last, which is the new check digit
@@ -15,11 +16,17 @@ different ones stay different, and nobody without the key can go back. What fail
     email    local@domain                            local part and domain become keyed digests in .example form
     secret   32 to 64 quoted hexadecimal digits      every digit, by a keyed digest
 
-Defined results: null texts stay null with no replacements; everything else keeps its columns.
+Every keyed digest is an HMAC-SHA-256.
+
+Defined results: null texts stay null with no replacements, empty ones empty; repeated rows and values get the same
+pseudonyms; a very long text is one expression's value as any other; an empty table gives no rows; every other column stays,
+and one named found is replaced.
 """
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,13 +44,25 @@ PATTERNS = {
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])",
 }
 ANY = "|".join(PATTERNS[k] for k in KINDS)
-_DAYS = (229, 319)  # their product is the number of days from 1900 to 2099
+_DAYS = (17, 4297)  # their product is the number of days from 1900 to 2099
+
+
+def derived(key: str) -> Column:
+    """struct(k1, k2): the key as HMAC's inner and outer blocks."""
+    raw = key.encode()
+    block = (sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    return F.struct(*[F.lit(bytes(x ^ pad for x in block)).alias(k) for k, pad in (("k1", 0x36), ("k2", 0x5C))])
+
+
+def keyed(key: Column, kind: str, *parts) -> Column:
+    """HMAC-SHA-256 of a kind and parts, as hexadecimal digits; key: derived()."""
+    text = F.concat_ws("|", F.lit(kind), *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.sha2(F.concat(key["k2"], F.unhex(F.sha2(F.concat(key["k1"], F.encode(text, "UTF-8")), 256))), 256)
 
 
 def _digest(key: Column, kind: str, *parts) -> Column:
     """60 bits of a keyed digest, as a long."""
-    text = F.concat_ws("|", key, F.lit(kind), *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
-    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(keyed(key, kind, *parts), 1, 15), 16, 10).cast("long")
 
 
 def feistel(left: Column, right: Column, a: Column, b: Column, key: Column, kind: str) -> Column:
@@ -155,12 +174,12 @@ def _date(m: Column, key: Column) -> Column:
 
 def _email(m: Column, key: Column) -> Column:
     low = F.lower(m)
-    tag = lambda kind, part, n: F.substring(F.sha2(F.concat_ws("|", key, F.lit(kind), part), 256), 1, n)
+    tag = lambda kind, part, n: F.substring(keyed(key, kind, part), 1, n)
     return F.concat(F.lit("u"), tag("email", low, 16), F.lit("@d"), tag("domain", F.substring_index(low, "@", -1), 8), F.lit(".example"))
 
 
 def _secret(m: Column, key: Column) -> Column:
-    return F.substr(F.sha2(F.concat_ws("|", key, F.lit("secret"), F.lower(m)), 256), F.lit(1), F.length(m))
+    return F.substr(keyed(key, "secret", F.lower(m)), F.lit(1), F.length(m))
 
 
 _MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
@@ -184,14 +203,15 @@ def pseudonym(m: Column, kind: Column, key: Column) -> Column:
 
 def pseudonymize(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """docs with pseudonyms in `column`, and found: array of (kind, pseudonym) in order of place."""
-    secret = F.lit(key)
-    text = F.col(f"`{column}`")
+    secret = derived(key)
+    text = F.col(f"doc.`{column}`")
     matches = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     replaced = F.transform(matches, lambda m: _bind(kind_of(m), lambda kind: F.struct(m.alias("was"), kind.alias("kind"), pseudonym(m, kind, secret).alias("new"))))
     # Only texts with a digit or an @ are searched at all.
-    pairs = docs.withColumn("__found", F.when(text.rlike("[0-9@]"), replaced))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).withColumn("hits", F.when(text.rlike("[0-9@]"), replaced))
     between = F.split(text, ANY, -1)
-    joined = F.concat(F.element_at(between, 1), F.array_join(F.zip_with("__found", F.slice(between, 2, F.greatest(F.size(between) - 1, F.lit(1))), lambda r, t: F.concat(F.coalesce(r["new"], r["was"]), t)), ""))
-    rebuilt = F.when(F.coalesce(F.exists("__found", lambda r: r["new"].isNotNull()), F.lit(False)), joined).otherwise(text)
-    found = F.transform(F.filter("__found", lambda r: r["new"].isNotNull()), lambda r: F.struct(r["kind"].alias("kind"), r["new"].alias("pseudonym")))
-    return pairs.select(*[rebuilt.alias(c) if c == column else F.col(f"`{c}`") for c in docs.columns], F.coalesce(found, F.array().cast("array<struct<kind:string,pseudonym:string>>")).alias("found"))
+    joined = F.concat(F.element_at(between, 1), F.array_join(F.zip_with("hits", F.slice(between, 2, F.greatest(F.size(between) - 1, F.lit(1))), lambda r, t: F.concat(F.coalesce(r["new"], r["was"]), t)), ""))
+    rebuilt = F.when(F.coalesce(F.exists("hits", lambda r: r["new"].isNotNull()), F.lit(False)), joined).otherwise(text)
+    found = F.transform(F.filter("hits", lambda r: r["new"].isNotNull()), lambda r: F.struct(r["kind"].alias("kind"), r["new"].alias("pseudonym")))
+    own = [(rebuilt if c == column else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns if c != "found" or c == column]
+    return rows.select(*own, F.coalesce(found, F.array().cast("array<struct<kind:string,pseudonym:string>>")).alias("found"))
