@@ -4,15 +4,23 @@ Two fingerprints within `radius` bits have a value within half the radius of bot
 emits all variants of up to half the radius, and fingerprints that share a variant are linked. The shuffle is on the
 variants, but a variant is not a row: a fingerprint is sent once to each prefix that any of its variants has, and the
 task of a prefix makes the variants with that prefix, sorts them, and links the owners of equal ones. As all owners of
-one variant are within the radius of each other, they are linked to the smallest owner, so a large ball costs a star,
-not all pairs. The number of prefixes follows the number of fingerprints.
-
-keep_one() also takes documents as near-duplicates whose sets of NEAR_WORDS-word shingles have a Jaccard similarity of
-NEAR or more, which a ball of fingerprints cannot hold (at 0.8 they are some ten bits apart). Candidates share one of
-BANDS bands of ROWS minima; each is verified on its whole sets.
-
-Defined results: null, empty and wordless texts have fingerprint zero, linked like any other; rows with equal
-fingerprints are one component; rows with a null doc_id keep their component but never name it; extra columns are ignored.
+one variant are within the radius of each other (for an odd radius: of those that are nearer to it), they are linked to
+the smallest owner, so a large ball costs a star, not all pairs. The number of prefixes follows the number of
+fingerprints; a prefix with too many variants is split by a hash of the variant.
+
+keep_one() takes documents as near-duplicates whose sets of NEAR_WORDS-word shingles have a Jaccard similarity of NEAR or
+more. Links of fingerprints, over shingles as long, are its first candidates, but a ball cannot hold that similarity (at 0.8
+fingerprints are some ten bits apart, and a ball of ten has 10**8 variants). Further candidates therefore share one of BANDS
+bands of ROWS minima of the hashed shingles: first each text with the first of its band, then, across the
+components that those links make, all texts of a band whose sketches (a bit of each minimum) agree as far as similar
+texts' do. No candidate is cut off; each is verified on its whole sets. Of pairs at 0.8, one in 5,000 shares no band and
+one in 40,000 has sketches too far apart. A band of very many texts that are not similar is compared sketch by sketch.
+
+Defined results: null, empty and wordless texts have fingerprint zero, linked like any other, and are near-duplicates of each
+other; rows with equal fingerprints are one component; rows with a null doc_id keep their component but never name
+it (a component of none but such rows has a null component_id); repeated rows are each returned by near_duplicates() and
+once by keep_one(); a very long text is hashed whole, a megabyte-sized one as a run of its own; an empty table gives no
+rows; extra columns are ignored or kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,19 +32,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-#: Fingerprints of a prefix whose variants fit in about 64 MB.
-PREFIX_FINGERPRINTS = 4000
+#: Fingerprints of a prefix whose variants fit in about 64 MB, and variants that a task makes.
+PREFIX_FINGERPRINTS, TASK_VARIANTS = 4000, 8_000_000
 
-#: Similarity 4/5; of a pair at that similarity, 1 in 20,000 shares no band.
-NEAR_WORDS, NEAR, BANDS, ROWS = 5, (4, 5), 25, 5
-#: Documents of a band are compared with so many before them (by size) and with the first.
-NEIGHBOURS = 15
+#: Similarity 4/5, and bits (of BANDS * ROWS) in which sketches of candidates may differ.
+NEAR_WORDS, NEAR, BANDS, ROWS, SKETCH_APART = 5, (4, 5), 36, 7, 44
 _rng = np.random.default_rng(SEED)
 _TIMES, _PLUS = _rng.integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64)
 _TIMES |= np.uint64(1)
@@ -60,9 +66,9 @@ def shingle_hashes(text: bytes, width: int = SHINGLE) -> np.ndarray:
     return np.array([h(line[a:b], SEED) for a, b in zip(starts[: len(words) - w].tolist(), ends[w:].tolist(), strict=True)], np.uint64)
 
 
-def fingerprint(text: bytes) -> int:
+def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     """Bits that over half of the shingles' hashes have."""
-    h = shingle_hashes(text)
+    h = shingle_hashes(text, width)
     if not len(h):
         return 0
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -93,63 +99,87 @@ def _masks(bits: int, weight: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for w in range(weight + 1) for c in combinations(range(bits), w)], np.uint64)
 
 
-def ball_links(fps: np.ndarray, prefix: int, bits: int, half: int) -> np.ndarray:
-    """Pairs (fingerprint, smallest owner) over the variants with this prefix (their lowest bits)."""
+def ball_links(fps: np.ndarray, names: np.ndarray, prefix: int, bits: int, radius: int, salt: int = 0, salts: int = 1) -> np.ndarray:
+    """Rows (name, fingerprint, name, fingerprint): owners of equal variants with this prefix (their lowest bits) and the least of them by name.
+
+    Only variants whose hash is `salt` modulo `salts` are looked at.
+    """
+    half, near = (radius + 1) // 2, radius // 2
     low = np.uint64((1 << bits) - 1)
-    fps = np.unique(fps.astype(np.uint64))
+    by = np.lexsort((fps, names))
+    fps, names = fps[by].astype(np.uint64), names[by]
     apart = np.bitwise_count((fps & low) ^ np.uint64(prefix))
-    # The rest of each variant: the flips that the prefix leaves, in the upper bits.
-    high = [_masks(64 - bits, half - k) << np.uint64(bits) for k in range(half + 1)]
-    variants, owners = [], []
+    found = []
     for k in range(half + 1):
+        # The rest of each variant: the flips that the prefix leaves, in the upper bits.
+        high = _masks(64 - bits, half - k) << np.uint64(bits)
+        close = np.bitwise_count(high) + k <= near
         at = np.flatnonzero(apart == k)
-        base = (fps[at] & ~low) | np.uint64(prefix)
-        variants.append((base[:, None] ^ high[k][None, :]).ravel())
-        owners.append(np.repeat(at.astype(np.int32), len(high[k])))
-    variants, owners = np.concatenate(variants), np.concatenate(owners)
+        for a in range(0, len(at), PREFIX_FINGERPRINTS):
+            own = at[a : a + PREFIX_FINGERPRINTS]
+            made = (((fps[own] & ~low) | np.uint64(prefix))[:, None] ^ high[None, :]).ravel()
+            owner, is_close = np.repeat(own.astype(np.int32), len(high)), np.tile(close, len(own))
+            if salts > 1:
+                mine = common.mix(made) % np.uint64(salts) == np.uint64(salt)
+                made, owner, is_close = made[mine], owner[mine], is_close[mine]
+            found.append((made, owner, is_close))
+    variants, owners, closes = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64),) * 3
     # Only values that occur twice matter; one plain sort finds them.
     values = np.sort(variants)
     twice = np.unique(values[1:][values[1:] == values[:-1]])
     if not len(twice):
-        return np.zeros((0, 2), np.uint64)
+        return np.zeros((0, 4), np.int64)
     slot = np.minimum(np.searchsorted(twice, variants), len(twice) - 1)
     held = np.flatnonzero(twice[slot] == variants)
-    slot, owner = slot[held], owners[held]
+    slot, owner, is_close = slot[held], owners[held], closes[held].astype(bool)
     least = np.full(len(twice), len(fps), np.int64)
-    np.minimum.at(least, slot, owner)
-    a, b = fps[owner], fps[least[slot]]
-    pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
-    return pairs[np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= 2 * half]
+    np.minimum.at(least, slot[is_close], owner[is_close])
+    pairs = np.stack([owner, least[slot]], 1)[least[slot] < len(fps)]
+    b, a = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0).T
+    within = np.bitwise_count(fps[a] ^ fps[b]) <= radius
+    a, b = a[within], b[within]
+    signed = fps.view(np.int64)
+    return np.stack([names[a], signed[a], names[b], signed[b]], 1)
 
 
-def link(distinct: DataFrame, radius: int = RADIUS, name: str = "simhash") -> DataFrame:
-    """Links (src, dst) that connect every two distinct fingerprints (column fp) within `radius` bits."""
-    half = ceil(radius / 2)
+def link(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links (src, dst) that connect every two fingerprints within `radius` bits.
+
+    distinct(fp, name): every fingerprint once, with a number; src and dst: structs of name and fp, src the greater one.
+    """
+    half = (radius + 1) // 2
     n = distinct.count()
     bits = min(24, max(6, ceil(log2(max(1, n) / PREFIX_FINGERPRINTS)) if n > PREFIX_FINGERPRINTS else 0))
-    flips = [int(m) for m in _masks(bits, half)]
-    rows = distinct.select("fp", F.explode(F.array(*[F.lit(m) for m in flips])).alias("flip")).select("fp", F.col("fp").bitwiseAND((1 << bits) - 1).bitwiseXOR(F.col("flip")).alias("prefix"))
+    flips = F.array(*[F.lit(int(m)) for m in _masks(bits, half)])
+    rows = distinct.select("fp", "name", F.explode(flips).alias("flip")).select("fp", "name", F.bit_count("flip").alias("k"), F.col("fp").bitwiseAND((1 << bits) - 1).bitwiseXOR(F.col("flip")).alias("prefix"))
+    made = F.element_at(F.array(*[F.lit(len(_masks(64 - bits, half - k))) for k in range(half + 1)]), F.col("k") + 1)
+    hot = common.written(rows.groupBy("prefix").agg(F.sum(made).alias("variants")).where(F.col("variants") > TASK_VARIANTS).select("prefix", F.ceil(F.col("variants") / TASK_VARIANTS).cast("int").alias("salts")), "hot-prefixes")
+    rows = rows.select("fp", "name", "prefix")
+    if hot.isEmpty():
+        rows = rows.withColumns({"salts": F.lit(1), "salt": F.lit(0)})
+    else:
+        rows = rows.join(hot, "prefix", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
 
     def run(key, frame):
-        pairs = ball_links(frame["fp"].to_numpy().view(np.uint64), int(key[0]), bits, half).view(np.int64)
-        return pd.DataFrame({"src": pairs[:, 0], "dst": pairs[:, 1]})
+        pairs = ball_links(frame["fp"].to_numpy().view(np.uint64), frame["name"].to_numpy(), int(key[0]), bits, radius, int(key[1]), int(frame["salts"].iloc[0]))
+        return pd.DataFrame(dict(zip(("a", "a_fp", "b", "b_fp"), pairs.T, strict=True)))
 
-    found = rows.repartition(min(1 << bits, 4096), "prefix").groupBy("prefix").applyInPandas(run, "src long, dst long")
-    return found.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+    found = rows.repartition(min(1 << bits, 4096), "prefix", "salt").groupBy("prefix", "salt").applyInPandas(run, "a long, a_fp long, b long, b_fp long")
+    ends = [F.struct(F.col(c).alias("name"), F.col(f"{c}_fp").alias("fp")) for c in ("a", "b")]
+    return found.select(ends[0].alias("src"), ends[1].alias("dst"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs(doc_id, text); component_id: the smallest doc_id that can be reached."""
-    spark = docs.sparkSession
     fps = common.written(fingerprints(docs), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    links = link(classes.select("fp"), radius)
-    parts = common.components(links, "simhash")
-    # From classes of equal fingerprints to components of classes, to the rows.
-    named = classes.join(parts, classes.fp == parts.id, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    del spark
-    return fps.join(linked, "fp").select("doc_id", "fp", "component_id")
+    # A class of equal fingerprints goes by its least doc_id, and so does a component: the least of its classes is its root.
+    none = (1 << 63) - 1
+    classes = common.written(fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(none)).alias("name"), F.count("*").alias("n")), "classes")
+    parts = common.components(link(classes.select("fp", "name"), radius), "simhash")
+    roots = parts.select(F.col("id.fp").alias("fp"), F.col("root.name").alias("root"))
+    named = classes.join(roots, "fp", "left").select("fp", "n", F.nullif(F.coalesce("root", "name"), F.lit(none)).alias("component_id"))
+    total = fps.count()
+    return common.split_join(fps, named, "fp", "n", total).select("doc_id", "fp", "component_id")
 
 
 def fingerprint_digest(rows: DataFrame) -> DataFrame:
@@ -177,18 +207,21 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return h[new], np.bincount(doc[new], minlength=len(per))
 
 
-def bands(h: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """A row of band keys for each set that is not empty."""
+def minima(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each set that is not empty a row of band keys, and a sketch of a bit of each minimum."""
     heads = (np.cumsum(count) - count)[count > 0]
     keys = np.tile(np.arange(BANDS, dtype=np.uint64), (len(heads), 1))
+    sketch = np.zeros((len(heads), -(-BANDS * ROWS // 64)), np.uint64)
     if len(heads):
         for k in range(BANDS * ROWS):
-            keys[:, k // ROWS] = common.mix(keys[:, k // ROWS] * np.uint64(3) + np.minimum.reduceat(h * _TIMES[k] + _PLUS[k], heads))
-    return keys
+            least = common.mix(np.minimum.reduceat(h * _TIMES[k] + _PLUS[k], heads))
+            keys[:, k // ROWS] = common.mix(keys[:, k // ROWS] * np.uint64(3) + least)
+            sketch[:, k // 64] |= (least & np.uint64(1)) << np.uint64(k % 64)
+    return keys, sketch
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, row, fp, n, bands) of every row: keys of its text and of itself, fingerprint, shingles and their bands."""
+    """(doc_id, th, row, fp, n, bands, sketch) of every row: keys of its text and of itself, fingerprint, shingles, their bands and sketch."""
     common.prepare(docs.sparkSession)
 
     def run(batches):
@@ -197,25 +230,18 @@ def signatures(docs: DataFrame) -> DataFrame:
             for a, b in common.pieces(offsets):
                 part, o = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 text, cut = part.tobytes(), o.tolist()
-                fps = np.array([fingerprint(text[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)], np.uint64).view(np.int64)
+                fps = np.array([fingerprint(text[x:y], NEAR_WORDS) for x, y in zip(cut[:-1], cut[1:], strict=True)], np.uint64).view(np.int64)
                 h, count = shingle_sets(part, o)
-                keys = bands(h, count).view(np.int64).ravel()
-                ends = np.append(0, np.cumsum((count > 0) * BANDS)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), pa.array(fps), pa.array(count.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))], names=["doc_id", "th", "row", "fp", "n", "bands"])
+                some = np.append(0, np.cumsum(count > 0)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(some * x.shape[1]), pa.array(x.view(np.int64).ravel())) for x in minima(h, count)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), pa.array(fps), pa.array(count.astype(np.int32)), *lists], names=["doc_id", "th", "row", "fp", "n", "bands", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_key().alias("th"), common.row_key().alias("row"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, th long, row long, fp long, n int, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, th long, row long, fp long, n int, bands array<long>, sketch array<long>")
 
 
-def similar(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (src, dst) between the texts (th) of classes(th, n, bands, first.row) whose sets of shingles are similar."""
-    near, of = NEAR
-    in_band = Window.partitionBy("band").orderBy("n", "th")
-    me = F.struct("th", "n")
-    shared = classes.select("th", "n", F.explode("bands").alias("band")).withColumn("others", F.array(F.first(me).over(in_band), *[F.lag(me, k).over(in_band) for k in range(1, NEIGHBOURS + 1)]))
-    pairs = shared.select("th", "n", F.explode("others").alias("o")).where("o is not null and o.th <> th").where(of * F.least("n", "o.n") >= near * F.greatest("n", "o.n"))
-    pairs = common.written(pairs.select(F.greatest("th", "o.th").alias("src"), F.least("th", "o.th").alias("dst")).distinct(), "candidates")
-    nodes = pairs.select(F.col("src").alias("th")).unionByName(pairs.select(F.col("dst").alias("th"))).distinct()
+def set_table(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(th, set): the distinct shingles of the texts of rows(row), one row for each text."""
 
     def run(batches):
         for batch in batches:
@@ -224,27 +250,54 @@ def similar(docs: DataFrame, classes: DataFrame) -> DataFrame:
                 h, count = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(h.view(np.int64)))], names=["th", "set"])
 
-    # One row stands for each text, so a text with many copies is not dealt to one task.
-    rows = classes.join(nodes, "th").select(F.col("first.row").alias("row"))
     texts = docs.select(common.row_key().alias("row"), common.text_key().alias("th"), F.col("text").cast("string").alias("text")).join(rows, "row", "left_semi").dropDuplicates(["row"])
-    sets = common.written(texts.select("th", "text").mapInArrow(run, "th long, set array<long>"), "shingle-sets")
+    return common.written(texts.select("th", "text").mapInArrow(run, "th long, set array<long>"), "shingle-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of pairs (src, dst) whose sets are similar; two empty sets are."""
+    near, of = NEAR
     both = pairs.join(sets.select(F.col("th").alias("src"), F.col("set").alias("a")), "src").join(sets.select(F.col("th").alias("dst"), F.col("set").alias("b")), "dst")
     # i / (|a| + |b| - i) >= near / of, in whole numbers.
     return both.where((near + of) * F.size(F.array_intersect("a", "b")) >= near * (F.size("a") + F.size("b"))).select("src", "dst")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of docs of each component of near-duplicates: that with the least doc_id, one without doc_id only if none has one.
+def similar_texts(docs: DataFrame, classes: DataFrame, radius: int) -> DataFrame:
+    """(id, root): components of the texts (th) of classes(th, row, fp, n, bands, sketch) that are near-duplicates of others."""
+    near, of = NEAR
+    fits = of * F.least("n", "m") >= near * F.greatest("n", "m")
+    ordered = lambda df: df.select(F.greatest("th", "o").alias("src"), F.least("th", "o").alias("dst"))
+    by_fp = common.written(classes.groupBy("fp").agg(F.min("th").alias("name")), "fingerprints")
+    balls = link(by_fp, radius).select(F.col("src.name").alias("src"), F.col("dst.name").alias("dst"))
+    equal = ordered(classes.select("th", "fp").join(by_fp.select("fp", F.col("name").alias("o")), "fp").where("th <> o"))
+    # Rows of bands that several texts share, with the first of each.
+    shared = classes.select("th", "n", F.explode("bands").alias("band"))
+    first = common.written(shared.groupBy("band").agg(F.min(F.struct("n", "th")).alias("f"), F.max("th").alias("l"), F.min("th").alias("e")).where("l <> e").select("band", F.col("f.n").alias("m"), F.col("f.th").alias("o")), "bands")
+    members = common.written(shared.join(first, "band"), "band-members")
+    pairs = common.written(ordered(members.where("th <> o").where(fits)).unionByName(balls).unionByName(equal).distinct(), "candidates")
+    nodes = members.select("th").unionByName(pairs.select(F.col("src").alias("th"))).unionByName(pairs.select(F.col("dst").alias("th"))).distinct()
+    sets = set_table(docs, classes.join(nodes, "th").select("row"))
+    links = common.written(verified(pairs, sets), "links")
+    parts = common.components(links, "near")
+    # What is left: pairs of a band across components.
+    named = members.select("band", "th", "n").join(classes.select("th", "sketch"), "th").join(parts.withColumnRenamed("id", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
+    mixed = named.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band")
+    named = common.written(named.join(mixed, "band", "left_semi"), "mixed-bands")
+    other = named.select("band", F.col("th").alias("o"), F.col("n").alias("m"), F.col("sketch").alias("other"), F.col("root").alias("other_root"))
+    apart = F.aggregate(F.zip_with("sketch", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    rest = named.join(other, (named.band == other.band) & (F.col("th") > F.col("o")) & (F.col("root") != F.col("other_root")) & fits & (apart <= SKETCH_APART))
+    more = common.written(ordered(rest).distinct(), "candidates")
+    if more.isEmpty():
+        return parts
+    return common.components(links.unionByName(verified(more, sets)), "near")
 
-    Near-duplicates are texts with fingerprints within `radius` bits, and texts with similar sets of shingles.
-    """
+
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of docs of each component of near-duplicates: that with the least doc_id, one without doc_id only if none has one."""
     rows = common.written(signatures(docs), "signatures")
-    classes = common.written(rows.groupBy("th").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")), "texts")
-    by_fp = common.written(classes.groupBy("fp").agg(F.min("th").alias("least")), "fingerprints")
-    ends = [by_fp.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_th")) for c in ("src", "dst")]
-    links = link(by_fp.select("fp"), radius).join(ends[0], "src").join(ends[1], "dst").select(F.col("src_th").alias("src"), F.col("dst_th").alias("dst"))
-    equal = classes.join(by_fp, "fp").where("th <> least").select(F.col("th").alias("src"), F.col("least").alias("dst"))
-    parts = common.components(links.unionByName(equal).unionByName(similar(docs, classes)), "near")
+    classes = rows.groupBy("th").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), *[F.first(c).alias(c) for c in ("fp", "n", "bands", "sketch")])
+    classes = common.written(classes.select("th", "first", F.col("first.row").alias("row"), "fp", "n", "bands", "sketch"), "texts")
+    parts = similar_texts(docs, classes, radius)
     roots = classes.join(parts, classes.th == parts.id, "left").select(F.coalesce("root", "th").alias("root"), "first")
-    kept = roots.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
-    return docs.withColumn("__row", common.row_key()).join(kept, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    kept = roots.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    return docs.select(common.row_key().alias("row"), common.whole_row(docs).alias("doc")).join(kept, "row", "left_semi").dropDuplicates(["row"]).select("doc.*")
