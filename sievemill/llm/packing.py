@@ -3,12 +3,15 @@
 Only lengths matter to the packing, and there are fewer lengths than a sequence has tokens; so an individual is a
 packing of the whole corpus as patterns (the lengths in one sequence) with multiplicities, whose size does not grow with
 the corpus. Crossover injects whole well-filled sequences of one parent, removes what the other parent holds of the same
-documents, and best-fits the displaced ones. Islands evolve in executor tasks and pass their elites on between epochs.
+documents, and best-fits the displaced ones; mutation dissolves some sequences, the emptiest first. Islands evolve in
+executor tasks and pass their elites on in a ring after each epoch. The search ends when a packing has as few sequences as
+the lower bound, after PATIENCE epochs without a better one, or after EPOCHS epochs.
 The winning plan turns the rank of a document among those of its length into a sequence and a place; ranks come from
 counts by (partition, length), so no document is shuffled and no length, however frequent, is gathered in one task.
 
-Defined results: null and empty texts are the end id alone; repeated rows are packed each; an empty table has no
-pieces; extra columns are ignored.
+Defined results: null and empty texts are the end id alone; repeated rows are packed each; rows without doc_id are packed
+like others; a very long text is cut into pieces, and encoded as a run of its own; an empty table has no pieces; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 from . import common
 from .encoder import PIECE, encoder
 
-#: Islands, individuals on each, epochs (with a migration after each), children in an epoch.
-ISLANDS, POPULATION, EPOCHS, CHILDREN = 4, 6, 2, 6
+#: Islands, individuals on each, epochs at most (with a migration after each) and without a better packing, children in an epoch.
+ISLANDS, POPULATION, EPOCHS, PATIENCE, CHILDREN = 8, 6, 12, 3, 60
 #: Up to so many partitions of the token table, their rank offsets (8 KB each) are broadcast; beyond, joined by a shuffle.
 BROADCAST_PARTS = 2048
 
@@ -109,6 +112,32 @@ def fitness(bins: Counter, capacity: int) -> tuple[int, float]:
     return -n, sum(m * (sum(p) / capacity) ** 2 for p, m in bins.items()) / max(1, n)
 
 
+def lower_bound(need: dict[int, int], capacity: int) -> int:
+    """Sequences that any packing needs.
+
+    For each limit up to half the capacity, documents over capacity - limit are alone, and share no sequence with one of
+    `limit` ids or more; those over half are in a sequence each, and what smaller ones of at least `limit` ids don't fit into
+    the rest of these needs more. Without a limit: all ids.
+    """
+    best = -(-sum(r * c for r, c in need.items()) // capacity)
+    for limit in {0, *(r for r in need if 2 * r <= capacity)}:
+        alone = sum(c for r, c in need.items() if r > capacity - limit)
+        half = {r: c for r, c in need.items() if 2 * r > capacity and r <= capacity - limit}
+        room = sum((capacity - r) * c for r, c in half.items())
+        small = sum(r * c for r, c in need.items() if limit <= r and 2 * r <= capacity)
+        best = max(best, alone + sum(half.values()) + max(0, -(-(small - room) // capacity)))
+    return best
+
+
+def _remains(need: dict[int, int], kept: Counter) -> dict[int, int]:
+    """The documents that kept leaves."""
+    left = Counter(need)
+    for pattern, m in kept.items():
+        for r in pattern:
+            left[r] -= m
+    return {r: c for r, c in left.items() if c}
+
+
 def crossover(a: Counter, b: Counter, need: dict[int, int], capacity: int, rng: random.Random) -> Counter:
     """A child: well-filled sequences of b, those of a that hold other documents, and the displaced documents best-fitted."""
     left, child = dict(need), Counter()
@@ -125,22 +154,40 @@ def crossover(a: Counter, b: Counter, need: dict[int, int], capacity: int, rng:
     for pattern, m in b.items():
         if sum(pattern) >= 0.995 * capacity and rng.random() < share:
             take(pattern, m)
-    # Of a, fuller sequences are kept first; its emptiest ones are dissolved, which is the mutation.
+    # Of a, fuller sequences are kept first.
     for pattern, m in sorted(a.items(), key=lambda x: (-sum(x[0]), x[0])):
-        if sum(pattern) >= 0.98 * capacity and rng.random() > 0.05:
-            take(pattern, m)
+        take(pattern, m)
     return best_fit({r: c for r, c in left.items() if c}, child, capacity)
 
 
+def mutate(bins: Counter, need: dict[int, int], capacity: int, rng: random.Random) -> Counter:
+    """Sequences of some patterns are dissolved, emptier ones likelier, and their documents best-fitted in another order."""
+    rate = rng.uniform(0.02, 0.3)
+    kept = Counter()
+    for pattern, m in bins.items():
+        gone = rng.random() < rate + 20 * (1 - sum(pattern) / capacity)
+        if not gone:
+            kept[pattern] = m
+        elif m > 1 and rng.random() < 0.5:
+            kept[pattern] = m - rng.randrange(1, m)
+    left = _remains(need, kept)
+    order = sorted(left, key=lambda r: -r * rng.uniform(0.9, 1.0))
+    return best_fit(left, kept, capacity, order)
+
+
 def evolve(population: list[Counter], need: dict[int, int], capacity: int, seed: int) -> list[Counter]:
     """One island's epoch, best first."""
     rng = random.Random(seed)
     while len(population) < POPULATION:
         order = sorted(need, key=lambda r: -r * rng.uniform(0.97, 1.0))
         population.append(best_fit(need, Counter(), capacity, order if population else None))
+    least = lower_bound(need, capacity)
     for _ in range(CHILDREN):
+        if min(sum(x.values()) for x in population) == least:
+            break
         a, b = (max(rng.sample(population, 2), key=lambda x: fitness(x, capacity)) for _ in range(2))
-        population.append(crossover(a, b, need, capacity, rng))
+        child = crossover(a, b, need, capacity, rng)
+        population.append(mutate(child, need, capacity, rng) if rng.random() < 0.5 else child)
         population.sort(key=lambda x: fitness(x, capacity), reverse=True)
         del population[POPULATION:]
     return sorted(population, key=lambda x: fitness(x, capacity), reverse=True)
@@ -159,8 +206,13 @@ def plan(spark: SparkSession, need: dict[int, int], capacity: int) -> Counter:
 
     schema = "island long, no long, turn long, genome binary, size long, fill double"
     state = spark.range(ISLANDS).select(F.col("id").alias("island"), F.lit(0).cast("long").alias("no"), F.lit(0).cast("long").alias("turn"), F.lit(None).cast("binary").alias("genome"), F.lit(0).cast("long").alias("size"), F.lit(0.0).alias("fill"))
+    least, best, since = lower_bound(need, capacity), None, 0
     for _ in range(EPOCHS):
         state = common.written(state.repartition(ISLANDS, "island").groupBy("island").applyInPandas(epoch, schema), "islands")
+        size = state.agg(F.min("size")).first()[0]
+        best, since = (size, 0) if best is None or size < best else (best, since + 1)
+        if best == least or since == PATIENCE:
+            break
         # Elites move on to the next island, in the place after its own.
         elites = state.where("no = 0").withColumns({"island": (F.col("island") + 1) % ISLANDS, "no": F.lit(POPULATION).cast("long")})
         state = state.unionByName(elites)
