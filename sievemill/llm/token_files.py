@@ -1,11 +1,13 @@
 """Token ids in ORC: files in ascending doc_id order with run-length encoded integers, row indexes and Bloom filters.
 
 A stripe is read on its own, so scans split by stripes; the row index and the Bloom filter on doc_id let a lookup skip
-whatever cannot hold its ids. Each row also says how many ids its file holds before it, and a total by file gives the
-place of a document in the stream of all ids without reading any of them.
+whatever cannot hold its ids. Each row also says how many ids its file holds before it, and a sidecar table of the
+totals of each file, written with them, gives the place of a document in the stream of all ids: a lookup reads that
+table, footers, and the row groups that may hold its ids.
 
 Defined results: null and empty texts are the end id alone; rows with equal doc_id follow each other by a hash of their
-text; null doc_ids come first; an empty table writes no rows; extra columns are ignored.
+text, repeated rows in any order of theirs, which are equal; null doc_ids come first; a very long text is one row, encoded
+as a run of its own; an empty table writes no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from .encoder import PIECE, encoder
 
 SCHEMA = "doc_id long, part long, before long, n_tokens long, ids array<int>"
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "2000", "orc.stripe.size": str(32 << 20), "compression": "zstd"}
-#: Up to so many files their totals (24 bytes each) are broadcast; beyond, joined by a shuffle.
-BROADCAST_PARTS = 100_000
+#: The sidecar's folder, which readers of the data pass over. Up to so many files its rows (16 bytes each) are broadcast; beyond, joined by a shuffle.
+TOTALS, BROADCAST_PARTS = "_totals", 100_000
 
 
 def write(docs: DataFrame, path: str, vocab: str, end_id: int = 1) -> None:
@@ -43,13 +45,15 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int = 1) -> None:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
     ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     ordered.mapInArrow(run, SCHEMA).write.mode("errorifexists").options(**ORC).orc(path)
+    # Two columns of the files that are there now; a row for each file is what the window sees.
+    totals = docs.sparkSession.read.schema(SCHEMA).orc(path).groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base")).write.parquet(f"{path}/{TOTALS}")
 
 
 def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids; only those of doc_ids if given, which skips stripes and row groups."""
     rows = spark.read.schema(SCHEMA).orc(path)
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    totals = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))  # a row for each file
+    totals = spark.read.schema("part long, base long").parquet(f"{path}/{TOTALS}")
     if totals.count() <= BROADCAST_PARTS:
         totals = F.broadcast(totals)
     if doc_ids is not None:
