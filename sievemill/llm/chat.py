@@ -9,8 +9,9 @@ and no text can forge a mark: between "<" and "|" a text gets one backslash more
 takes away again. Roles also have backslashes doubled and line feeds written as \\n. The loss mask covers the texts of assistant turns.
 
 Defined results: null texts and roles count as empty; turns with equal numbers are ordered by role and text; a null
-turn comes first; rows without conv_id form one conversation; an empty table gives no rows; extra columns are ignored.
-One conversation is one output row, so it has to fit in memory; the rows of others are only passed through.
+turn comes first; repeated rows are a turn each; rows without conv_id form one conversation; an empty table gives no rows;
+extra columns are ignored. One conversation is one output row, so its rows meet in one task and it has to fit in memory, a
+very long text too; beyond 2 GB, the most that a value can hold, it raises. The rows of others are only passed through.
 """
 
 from __future__ import annotations
@@ -105,11 +106,11 @@ def format_chats(turns: DataFrame) -> DataFrame:
                 cut = -1
             if cut:
                 whole = [*held, batch.slice(0, cut)] if cut > 0 else held
-                yield emit(pa.Table.from_batches(whole).combine_chunks().to_batches()[0])
+                yield emit(pa.concat_batches(whole))
                 held = []
             held.append(batch.slice(max(cut, 0)))
         if held:
-            yield emit(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            yield emit(pa.concat_batches(held))
 
     return rows.mapInArrow(run, SCHEMA)
 
