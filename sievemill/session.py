@@ -41,9 +41,11 @@ def register_views(spark: SparkSession, sf_dir: str) -> None:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors share: under spark.checkpoint.dir, or of this machine where that is unset."""
+    """A new folder that the driver and all executors share: under spark.checkpoint.dir, or, in a local session without it, of this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="sievemill-")
         atexit.register(shutil.rmtree, base, True)
     return f"{base.rstrip('/')}/sievemill-{name}-{uuid.uuid4().hex}"
