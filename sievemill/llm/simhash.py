@@ -12,9 +12,9 @@ keep_one() takes documents as near-duplicates whose sets of NEAR_WORDS-word shin
 more. Links of fingerprints, over shingles as long, are its first candidates, but a ball cannot hold that similarity (at 0.8
 fingerprints are some ten bits apart, and a ball of ten has 10**8 variants). Further candidates therefore share one of BANDS
 bands of ROWS minima of the hashed shingles: first each text with the first of its band, then, across the
-components that those links make, all texts of a band whose sketches (a bit of each minimum) agree as far as similar
+components that those links make, all texts of a band whose sketches (four bits of each minimum) agree as far as similar
 texts' do. No candidate is cut off; each is verified on its whole sets. Of pairs at 0.8, one in 5,000 shares no band and
-one in 40,000 has sketches too far apart. A band of very many texts that are not similar is compared sketch by sketch.
+one in 30,000 has sketches too far apart. A band of very many texts that are not similar is compared sketch by sketch.
 
 Defined results: null, empty and wordless texts have fingerprint zero, linked like any other, and are near-duplicates of each
 other; rows with equal fingerprints are one component; rows with a null doc_id keep their component but never name
@@ -41,8 +41,8 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints of a prefix whose variants fit in about 64 MB, and variants that a task makes.
 PREFIX_FINGERPRINTS, TASK_VARIANTS = 4000, 8_000_000
 
-#: Similarity 4/5, and bits (of BANDS * ROWS) in which sketches of candidates may differ.
-NEAR_WORDS, NEAR, BANDS, ROWS, SKETCH_APART = 5, (4, 5), 36, 7, 44
+#: Similarity 4/5, and minima (of BANDS * ROWS) whose four bits may differ in sketches of candidates: four deviations over the mean at 0.8.
+NEAR_WORDS, NEAR, BANDS, ROWS, SKETCH_APART = 5, (4, 5), 36, 7, 72
 _rng = np.random.default_rng(SEED)
 _TIMES, _PLUS = _rng.integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64)
 _TIMES |= np.uint64(1)
@@ -208,15 +208,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def minima(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each set that is not empty a row of band keys, and a sketch of a bit of each minimum."""
+    """For each set that is not empty a row of band keys, and a sketch of four bits of each minimum."""
     heads = (np.cumsum(count) - count)[count > 0]
     keys = np.tile(np.arange(BANDS, dtype=np.uint64), (len(heads), 1))
-    sketch = np.zeros((len(heads), -(-BANDS * ROWS // 64)), np.uint64)
+    sketch = np.zeros((len(heads), -(-BANDS * ROWS // 16)), np.uint64)
     if len(heads):
         for k in range(BANDS * ROWS):
             least = common.mix(np.minimum.reduceat(h * _TIMES[k] + _PLUS[k], heads))
             keys[:, k // ROWS] = common.mix(keys[:, k // ROWS] * np.uint64(3) + least)
-            sketch[:, k // 64] |= (least & np.uint64(1)) << np.uint64(k % 64)
+            sketch[:, k // 16] |= (least & np.uint64(15)) << np.uint64(k % 16 * 4)
     return keys, sketch
 
 
@@ -279,13 +279,16 @@ def similar_texts(docs: DataFrame, classes: DataFrame, radius: int) -> DataFrame
     sets = set_table(docs, classes.join(nodes, "th").select("row"))
     links = common.written(verified(pairs, sets), "links")
     parts = common.components(links, "near")
-    # What is left: pairs of a band across components.
-    named = members.select("band", "th", "n").join(classes.select("th", "sketch"), "th").join(parts.withColumnRenamed("id", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
+    # What is left: pairs of a band across components, each in the first band that it shares.
+    whole = classes.select("th", "bands", "sketch")
+    named = members.select("band", "th", "n").join(parts.withColumnRenamed("id", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
     mixed = named.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band")
-    named = common.written(named.join(mixed, "band", "left_semi"), "mixed-bands")
-    other = named.select("band", F.col("th").alias("o"), F.col("n").alias("m"), F.col("sketch").alias("other"), F.col("root").alias("other_root"))
-    apart = F.aggregate(F.zip_with("sketch", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    rest = named.join(other, (named.band == other.band) & (F.col("th") > F.col("o")) & (F.col("root") != F.col("other_root")) & fits & (apart <= SKETCH_APART))
+    named = common.written(named.join(mixed, "band", "left_semi").join(whole, "th"), "mixed-bands")
+    other = named.select(*[F.col(c).alias(f"other_{c}") for c in named.columns]).withColumnsRenamed({"other_n": "m", "other_th": "o"})
+    differ = lambda x: F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3)).bitwiseAND(F.lit(0x1111111111111111)))
+    apart = F.aggregate(F.zip_with("sketch", "other_sketch", lambda x, y: x.bitwiseXOR(y)), F.lit(0), lambda s, x: s + differ(x))
+    shares = F.element_at(F.filter(F.zip_with("bands", "other_bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1)
+    rest = named.join(other, (named.band == other.other_band) & (F.col("th") > F.col("o")) & (F.col("root") != F.col("other_root")) & fits & (apart <= SKETCH_APART) & (shares == F.col("band")))
     more = common.written(ordered(rest).distinct(), "candidates")
     if more.isEmpty():
         return parts
