@@ -12,7 +12,8 @@ probing every index with all values that near finds them all; their floats are t
 2. Blocks: for all other queries the radius grows further, up to the one that the sample's own nearest pairs need. By then a
    ball has more values than the index has keys, so the index is held by blocks of vectors, each with its substring
    tables from values to lists of rows, and each pair of a block of queries and one of vectors yields at most k rows a query.
-   Within a block a ring of values is enumerated while it is smaller than the table, and looked up key by key beyond.
+   Rings of values are looked up step by step while a ring is smaller than the table has keys; then one pass over the
+   block's codes, 8 bytes a row, finds what is left within the radius.
 3. Queries that still have fewer than k neighbours are searched in all blocks without a radius.
 
 How much the index spares depends on the data. Near copies end with the probe; for vectors in no clusters, whose nearest
@@ -117,17 +118,37 @@ class Index:
     def bucket(self, part: int, own: np.ndarray, flips: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, row) pairs whose substrings differ in exactly `flips` bits."""
         keys, first, rows = self.tables[part]
-        width = self.coder.parts[part][1]
-        if comb(width, flips) < len(keys):
-            values = own[:, None] ^ ring(width, flips)[None, :]
-            slot = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
-            q, at = np.nonzero(keys[slot] == values)
-            key = slot[q, at]
-        else:
-            q, key = np.nonzero(np.bitwise_count(own[:, None] ^ keys[None, :]) == flips)
+        values = own[:, None] ^ ring(self.coder.parts[part][1], flips)[None, :]
+        slot = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+        q, at = np.nonzero(keys[slot] == values)
+        key = slot[q, at]
         n = first[key + 1] - first[key]
         return np.repeat(q, n), rows[np.repeat(first[key] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
 
+    def probed(self, codes: np.ndarray, flips: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) pairs within the radius whose nearest substrings differ in `flips` bits."""
+        found = []
+        for part in range(len(self.tables)):
+            i, j = self.bucket(part, self.coder.substring(codes, part), flips)
+            apart = codes[i] ^ self.codes[j]
+            # A row counts where its nearest substring (the first of several) is probed.
+            new = np.bitwise_count(apart) <= radius
+            for other in range(len(self.tables)):
+                if other != part:
+                    new &= np.bitwise_count(self.coder.substring(apart, other)) >= flips + (other < part)
+            found.append((i[new], j[new]))
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        return i, j
+
+    def passed(self, codes: np.ndarray, flips: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) pairs within the radius whose nearest substrings differ in `flips` bits or more."""
+        i, j = np.nonzero(np.bitwise_count(codes[:, None] ^ self.codes[None, :]) <= radius)
+        apart = codes[i] ^ self.codes[j]
+        new = np.ones(len(i), bool)
+        for part in range(len(self.tables)):
+            new &= np.bitwise_count(self.coder.substring(apart, part)) >= flips
+        return i[new], j[new]
+
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int, radius: int | None):
         """(query_id, vec_id, score) of up to k rows for each query, within the radius; and how many floats were read."""
         out, scored = [], 0
@@ -137,22 +158,14 @@ class Index:
             codes = self.coder.code(qu)
             live = np.arange(len(qid))
             held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-            for flips in range((self.coder.bits if radius is None else radius) // parts + 1):
+            last_step = -1 if radius is None else radius // parts
+            for flips in range(max(0, last_step) + 1):
+                few = all(comb(width, flips) < len(keys) for (_, width), (keys, _, _) in zip(self.coder.parts, self.tables, strict=True))
                 if radius is None:
                     i, j = (x.ravel() for x in np.indices((len(qid), len(self.ids))))
                 else:
-                    found = []
-                    for part in range(parts):
-                        q, j = self.bucket(part, self.coder.substring(codes[live], part), flips)
-                        i = live[q]
-                        apart = codes[i] ^ self.codes[j]
-                        # A row counts where its nearest substring (the first of several) is probed.
-                        new = np.bitwise_count(apart) <= radius
-                        for other in range(parts):
-                            if other != part:
-                                new &= np.bitwise_count(self.coder.substring(apart, other)) >= flips + (other < part)
-                        found.append((i[new], j[new]))
-                    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+                    i, j = self.probed(codes[live], flips, radius) if few else self.passed(codes[live], flips, radius)
+                    i = live[i]
                 own = qid[i] != self.ids[j]
                 i, j = i[own], j[own]
                 scored += len(i)
@@ -160,7 +173,7 @@ class Index:
                 by = np.lexsort((self.ids[held[1]], -held[2], held[0]))
                 by = by[np.arange(len(by)) - np.searchsorted(held[0][by], held[0][by]) < k]
                 held = [x[by] for x in held]
-                if radius is None:
+                if radius is None or not few:
                     break
                 # Done are queries whose k-th nearest is so near that all nearer rows are within what has been probed.
                 full = np.bincount(held[0], minlength=len(qid)) >= k
