@@ -12,27 +12,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..session import work_dir
+
 ROW = "row_idx"
 
 
-def with_row_index(df: DataFrame, *order: str, buckets: int = 64) -> DataFrame:
-    """Number the rows from 0 by a total order without a single-task sort.
+def with_row_index(df: DataFrame, *order: str) -> DataFrame:
+    """Number the rows from 0 by a total order (nulls first) without a single-task sort.
 
-    Rows are cut into ranges of the first, numeric order column at its approximate quantiles, numbered within their range,
-    and moved up by the rows of the ranges before. Quantiles only balance the ranges, the numbers do not depend on them.
-    A null in the first column sorts first. Rows of one first-column value share a task.
+    The rows are sorted in ranges of the whole order, as many as the shuffle makes, and written; a row's place in its range
+    is what its generated id says, and it moves up by the rows of the ranges before, of which there is a number each.
     """
-    if df.schema[order[0]].dataType.typeName() not in ("byte", "short", "integer", "long", "float", "double"):
-        raise TypeError(f"the first order column must be a number: {order[0]}")
-    cuts = df.agg(F.percentile_approx(order[0], [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []
-    cut_at = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else None
-    spot = F.coalesce(F.size(F.filter(cut_at, lambda c: c < F.col(order[0]))), F.lit(0)) if cuts else F.lit(0)
-    df = df.withColumn("_range", F.when(F.col(order[0]).isNull(), -1).otherwise(spot))
-    sizes = df.groupBy("_range").count()
-    # One row for each range: at most `buckets` + 1.
-    before = sizes.select("_range", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return df.withColumn("_place", place).join(F.broadcast(before), "_range").withColumn(ROW, (F.col("_before") + F.col("_place") - 1).cast("long")).drop("_range", "_place", "_before")
+    place = F.monotonically_increasing_id()
+    within = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_id": place})
+    path = work_dir(df.sparkSession, "row-index")
+    within.write.parquet(path)
+    rows = df.sparkSession.read.schema(within.schema).parquet(path).withColumns({"_part": F.shiftright("_id", 33), "_place": F.col("_id").bitwiseAND((1 << 33) - 1)})
+    sizes = rows.groupBy("_part").count()
+    before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
+    return rows.join(F.broadcast(before), "_part").withColumn(ROW, F.col("_before") + F.col("_place")).drop("_id", "_part", "_place", "_before")
 
 
 def pop(df: DataFrame, *names: str) -> tuple[DataFrame, DataFrame]:

@@ -158,8 +158,9 @@ def remax(tokens: DataFrame, baseline: Column) -> DataFrame:
 def resample_by_weight(df: DataFrame, method: str = "pow", power: float = 2.0, seed: int = 0, score: str = "score", order: str = "traj_id") -> DataFrame:
     """As many rows as df has, drawn with replacement in proportion to a weight of the score; `draw` numbers them.
 
-    Draws are uniform points; each falls in the interval of a row in a running sum of the weights. The running sum is
-    taken over coarse buckets of the order first, so that no task sees more than its bucket.
+    Draws are uniform points, by a hash of seed and order, so that a task that is run again draws the same; each falls in
+    the interval of a row in a running sum of the weights. The running sum is taken over buckets of the order first, one
+    for a million rows at least, so that no task sees more than its bucket.
     """
     c = F.col
     df = with_totals(df, F.max(score).alias("_hi"), F.min(score).alias("_lo"), F.count(F.lit(1)).alias("_n"))
@@ -170,7 +171,7 @@ def resample_by_weight(df: DataFrame, method: str = "pow", power: float = 2.0, s
     }
     if method not in weight:
         raise ValueError(f"unknown reweighting {method!r}")
-    buckets = 256
+    buckets = max(256, df.count() // 1_000_000)
     df = df.withColumns({"_w": weight[method] + 1e-8, "_k": F.pmod(F.xxhash64(order), F.lit(buckets))})
     # The running sums of the buckets, of which there are `buckets`, and within each.
     sums = df.groupBy("_k").agg(F.sum("_w").alias("_s"), F.first("_n").alias("_n"))
@@ -178,8 +179,11 @@ def resample_by_weight(df: DataFrame, method: str = "pow", power: float = 2.0, s
     sums = sums.withColumns({"_to": F.sum("_s").over(run), "_all": F.sum("_s").over(Window.partitionBy())}).withColumn("_from", c("_to") - c("_s"))
     inside = Window.partitionBy("_k").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     rows = df.withColumn("_hi2", F.sum("_w").over(inside)).withColumn("_lo2", c("_hi2") - c("_w"))
-    draws = df.select(c(order).alias("draw"), F.rand(seed).alias("_u"))
-    hit = draws.join(F.broadcast(sums.select("_k", "_from", "_to", "_all")), (c("_u") * c("_all") >= c("_from")) & (c("_u") * c("_all") < c("_to"))).select("draw", "_k", (c("_u") * c("_all") - c("_from")).alias("_x"))
+    draws = df.select(c(order).alias("draw"), (F.shiftrightunsigned(F.xxhash64(order, F.lit(seed)), 11) / float(1 << 53)).alias("_u"))
+    # The buckets' ends, a number each, as one array: a draw's bucket is the first whose end lies beyond it.
+    table = sums.agg(F.max("_all").alias("_all"), F.array_sort(F.collect_list(F.struct("_to", "_from", "_k"))).alias("_b"))
+    hit = draws.join(F.broadcast(table)).withColumn("_p", c("_u") * c("_all")).withColumn("_e", F.get("_b", F.least(F.size(F.filter("_b", lambda x: x["_to"] <= c("_p"))), F.size("_b") - 1)))
+    hit = hit.select("draw", c("_e._k").alias("_k"), (c("_p") - c("_e._from")).alias("_x"))
     # Within a bucket a draw goes to the row with the largest start that does not exceed it: sorted together, carried forward.
     mixed = rows.select("_k", c("_lo2").alias("_x"), F.lit(None).cast("long").alias("draw"), F.struct(*[x for x in df.columns if not x.startswith("_")]).alias("row")).unionByName(hit.select("_k", "_x", "draw", F.lit(None).alias("row")), allowMissingColumns=True)
     carry = Window.partitionBy("_k").orderBy("_x", F.col("draw").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)

@@ -7,6 +7,8 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import balancing
+
 from .scoring import phrase_at
 
 
@@ -63,17 +65,9 @@ def workload(n: Column) -> Column:
 
 
 def differencing(costs: list[int], k: int) -> list[int]:
-    """The part, 0 to k - 1, of each cost: largest differencing. The two partial solutions of the widest spread are merged, heaviest part
-    with lightest, until one is left."""
-    heap = []
-    for i, c in enumerate(costs):
-        heapq.heappush(heap, (-c, i, [(c, [i])] + [(0, [])] * (k - 1)))
-    while len(heap) > 1:
-        a, b = heapq.heappop(heap), heapq.heappop(heap)
-        merged = sorted(((x + y, p + q) for (x, p), (y, q) in zip(a[2], reversed(b[2]))), key=lambda t: -t[0])
-        heapq.heappush(heap, (merged[-1][0] - merged[0][0], a[1], merged))
+    """The part, 0 to k - 1, of each cost, by largest differencing."""
     part = [0] * len(costs)
-    for j, (_, items) in enumerate(heap[0][2] if heap else []):
+    for j, items in enumerate(balancing.differencing(costs, k)):
         for i in items:
             part[i] = j
     return part

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..registry import LOSSES
+from .batch import ROW, with_row_index
 
 Token = Callable[[Column], Column]
 BOUND = 20.0
@@ -181,17 +182,26 @@ def _covariance(seqs: DataFrame) -> DataFrame:
     return long.join(F.broadcast(means)).withColumn("cov", (F.col("adv") - F.col("_a")) * (F.col("logp") - F.col("_l")))
 
 
+def first_rows(rows: DataFrame, value: str, ties: list[str], count: int) -> DataFrame:
+    """The first `count` rows by value and ties, of which there may be very many: what an approximate quantile leaves is numbered in ranges."""
+    n = rows.count()
+    if n <= count:
+        return rows
+    share = min(1.0, 1.5 * count / n + 0.001)
+    cut = rows.agg(F.percentile_approx(value, share, 10_000)).first()[0]
+    part = rows.where(F.col(value) <= F.lit(cut))
+    return with_row_index(part if part.count() >= count else rows, value, *ties).where(F.col(ROW) < count).drop(ROW)
+
+
 @LOSSES.register()
 def kl_cov(seqs: DataFrame, ratio: float = 0.0002, coef: float = 1.0) -> DataFrame:
     """REINFORCE with ratio; the tokens of largest covariance also pay |kl|. The mean over valid tokens."""
     long = _covariance(seqs)
-    k = F.greatest(F.lit(1), F.floor(F.col("_n") * ratio))
-    # Only the threshold row is looked for: a limit over a sort, not a window over all tokens.
     count = max(1, math.floor(long.count() * ratio))
-    top = long.orderBy(F.desc(F.round("cov", 12)), "traj_id", "t").limit(count).select("traj_id", "t", F.lit(True).alias("_top"))
+    top = first_rows(long.select((-F.round("cov", 12)).alias("_v"), "traj_id", "t"), "_v", ["traj_id", "t"], count).select("traj_id", "t", F.lit(True).alias("_top"))
     x = F.col("logp") - F.col("old_logp")
     loss = -F.col("adv") * F.exp(x) + F.when(F.col("_top"), coef * F.abs(x)).otherwise(0.0)
-    return long.withColumn("_k", k).join(top, ["traj_id", "t"], "left").agg((F.sum(loss) / F.count(F.lit(1))).alias("loss"), F.avg(F.abs(x)).alias("ppo_kl"), F.count_if("_top").alias("n_top"))
+    return long.join(top, ["traj_id", "t"], "left").agg((F.sum(loss) / F.count(F.lit(1))).alias("loss"), F.avg(F.abs(x)).alias("ppo_kl"), F.count_if("_top").alias("n_top"))
 
 
 @LOSSES.register()
@@ -201,7 +211,8 @@ def clip_cov(seqs: DataFrame, ratio: float = 0.0002, low: float = 0.2, high: flo
     count = max(1, math.floor(long.count() * ratio))
     x = F.exp(F.col("logp") - F.col("old_logp"))
     l1, l2 = -F.col("adv") * x, -F.col("adv") * clamp(x, 1 - low, 1 + high)
-    chosen = long.where((F.col("cov") > cov_low) & (F.col("cov") < cov_high) & ~(l2 > l1)).orderBy(F.xxhash64("traj_id", "t", F.lit(seed)), "traj_id", "t").limit(count).select("traj_id", "t", F.lit(0.0).alias("_z"))
+    open_ = long.where((F.col("cov") > cov_low) & (F.col("cov") < cov_high) & ~(l2 > l1)).select(F.xxhash64("traj_id", "t", F.lit(seed)).alias("_v"), "traj_id", "t")
+    chosen = first_rows(open_, "_v", ["traj_id", "t"], count).select("traj_id", "t", F.lit(0.0).alias("_z"))
     off = F.coalesce("_z", F.lit(1.0))
     return long.join(chosen, ["traj_id", "t"], "left").agg(F.avg(F.greatest(l1, l2) * off).alias("loss"), F.avg(1 - off).alias("clipfrac"), F.avg(F.col("old_logp") - F.col("logp")).alias("ppo_kl"))
 
@@ -267,9 +278,26 @@ class FixedKL:
 # Recurrences -----------------------------------------------------------------------------------------------------------
 
 
-def _reverse_fold(tok: Column, state: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """The `out` array of a fold from the last token to the first, in token order."""
-    return F.reverse(F.aggregate(F.reverse(tok), state, step)["out"])
+#: Tokens of a piece of a scan: an array grows by appending within a piece only, so that a scan is linear in the tokens.
+PIECE = 256
+
+
+def reverse_scan(tok: Column, start: dict[str, float], step: Callable[[Column, Column], tuple[dict[str, Column], Column]]) -> Column:
+    """The values of a scan from the last token to the first, in token order; step(state, token) -> (new state, value)."""
+    back = F.reverse(tok)
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tok), F.lit(1)), F.lit(PIECE)), lambda i: F.slice(back, i, F.lit(PIECE)))
+
+    def token(s, x):
+        new, value = step(s, x)
+        return F.struct(*[c.alias(n) for n, c in new.items()], F.array_append(s["out"], value).alias("out"))
+
+    def piece(s, p):
+        begin = F.struct(*[s[n].alias(n) for n in start], F.array().cast("array<double>").alias("out"))
+        whole = lambda x: F.struct(*[x[n].alias(n) for n in start], F.array_append(s["done"], x["out"]).alias("done"))
+        return F.element_at(F.transform(F.array(F.aggregate(p, begin, token)), whole), 1)
+
+    zero = F.struct(*[F.lit(v).alias(n) for n, v in start.items()], F.array().cast("array<array<double>>").alias("done"))
+    return F.reverse(F.flatten(F.aggregate(pieces, zero, piece)["done"]))
 
 
 def gae(seqs: DataFrame, gamma: float = 1.0, lam: float = 0.95) -> DataFrame:
@@ -278,10 +306,9 @@ def gae(seqs: DataFrame, gamma: float = 1.0, lam: float = 0.95) -> DataFrame:
     def step(s, x):
         delta = x["reward"] + gamma * s["v"] - x["value"]
         own = F.when(x["mask"] == 1, delta + gamma * lam * s["a"]).otherwise(s["a"])
-        return F.struct(F.when(x["mask"] == 1, x["value"]).otherwise(s["v"]).alias("v"), own.alias("a"), F.array_append(s["out"], own).alias("out"))
+        return {"v": F.when(x["mask"] == 1, x["value"]).otherwise(s["v"]), "a": own}, own
 
-    start = F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("a"), F.array().cast("array<double>").alias("out"))
-    df = seqs.withColumn("adv_raw", _reverse_fold(F.col("tok"), start, step))
+    df = seqs.withColumn("adv_raw", reverse_scan(F.col("tok"), {"v": 0.0, "a": 0.0}, step))
     return df.withColumn("ret", F.zip_with("adv_raw", "tok", lambda a, x: a + x["value"]))
 
 
@@ -290,24 +317,29 @@ def reinforce_plus_plus(seqs: DataFrame, gamma: float = 1.0) -> DataFrame:
 
     def step(s, x):
         ret = x["reward"] + gamma * s["r"]
-        return F.struct((ret * x["mask"]).alias("r"), F.array_append(s["out"], ret).alias("out"))
+        return {"r": ret * x["mask"]}, ret
 
-    start = F.struct(F.lit(0.0).alias("r"), F.array().cast("array<double>").alias("out"))
-    return seqs.withColumn("ret", _reverse_fold(F.col("tok"), start, step))
+    return seqs.withColumn("ret", reverse_scan(F.col("tok"), {"r": 0.0}, step))
 
 
 def whiten_array(seqs: DataFrame, values: str, out: str, shift: bool = True) -> DataFrame:
-    """An array column standardised over all valid tokens, 0 at masked ones."""
-    pairs = F.arrays_zip(F.col(values).alias("v"), F.transform("tok", lambda x: x["mask"]).alias("mask"))
-    part = seqs.select(F.aggregate(F.zip_with(values, "tok", lambda v, x: F.struct((v * x["mask"]).alias("a"), x["mask"].cast("double").alias("n"))), F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("n")), lambda s, y: F.struct((s["a"] + y["a"]).alias("a"), (s["n"] + y["n"]).alias("n"))).alias("p"))
-    sums = part.agg(F.sum("p.a").alias("_a"), F.sum("p.n").alias("_n"))
-    df = seqs.join(F.broadcast(sums)).withColumn("_m", F.col("_a") / (F.col("_n") + 1e-8))
-    square = df.select(F.aggregate(F.zip_with(values, "tok", lambda v, x: (v - F.col("_m")) * (v - F.col("_m")) * x["mask"]), F.lit(0.0), lambda s, y: s + y).alias("q")).agg(F.sum("q").alias("_q"))
+    """An array column standardised over all valid tokens, 0 at masked ones.
+
+    One pass sums what each sequence says of itself: its valid tokens, their mean, and the squares about that mean.
+    """
+    pairs = F.zip_with(values, "tok", lambda v, x: F.struct(v.alias("v"), x["mask"].cast("double").alias("m")))
+    fold = lambda f: F.aggregate("_p", F.lit(0.0), lambda s, y: s + f(y))
+    own = seqs.select(pairs.alias("_p")).select("_p", fold(lambda y: y["m"]).alias("n"), fold(lambda y: y["v"] * y["m"]).alias("s")).withColumn("mean", F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(0.0))
+    own = own.select("n", "s", "mean", fold(lambda y: (y["v"] - F.col("mean")) * (y["v"] - F.col("mean")) * y["m"]).alias("q"))
+    sums = own.agg(F.sum("n").alias("_n"), F.sum("s").alias("_s"), F.sum("q").alias("_q"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("_b"))
     n = F.when(F.col("_n") > 1, F.col("_n")).otherwise(F.raise_error("whitening needs two valid tokens").cast("double"))
-    df = df.join(F.broadcast(square)).withColumn("_r", 1 / F.sqrt(F.col("_q") / (n + 1e-8) * n / (n - 1) + 1e-8))
-    del pairs
+    mean = F.col("_s") / (n + 1e-8)
+    # Squares about the mean of all: those about the sequences' means, and those of the sequences' means.
+    square = F.col("_q") + F.col("_b") - 2 * mean * F.col("_s") + n * mean * mean
+    scale = 1 / F.sqrt(F.greatest(square, F.lit(0.0)) / (n + 1e-8) * n / (n - 1) + 1e-8)
+    df = seqs.join(F.broadcast(sums.select(mean.alias("_m"), scale.alias("_r"))))
     white = F.zip_with(values, "tok", lambda v, x: ((v - F.col("_m")) * F.col("_r") + (0 if shift else F.col("_m"))) * x["mask"])
-    return df.withColumn(out, white).drop("_a", "_n", "_m", "_q", "_r")
+    return df.withColumn(out, white).drop("_m", "_r")
 
 
 # Off-policy correction --------------------------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ ORACLE_SQL: dict[str, str] = {}
 DIGITS = 9
 #: Added before rounding. Scores have few decimals, so their means often lie exactly halfway between two roundings, where
 #: the last bit of a sum decides; moved by this much, which is far below the last digit kept, they do not.
-SHIFT = 3.14159e-11
+SHIFT = 2.7182818e-11
 
 
 def query(name: str, sql: str | None = None):
