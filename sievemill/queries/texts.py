@@ -36,9 +36,9 @@ query("rrf_fusion", f"WITH {_BM25}, {_DENSE}, u AS (SELECT query_id, doc_id, 1.0
     lambda s, d: R.fuse(5, 60, (_bm25(s, d), 1), (_dense(s, d), 2))
 )
 query("retrieval_recall", f"WITH {_DENSE}, g AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 20 = 0) SELECT g.query_id, {r('avg(CASE WHEN den.doc_id IS NULL THEN 0 ELSE 1 END)', 'recall')} FROM g LEFT JOIN den ON g.query_id = den.query_id AND g.doc_id = den.doc_id GROUP BY 1")(
-    lambda s, d: R.recall(_dense(s, d), table(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), "label").where("query_id % 20 = 0").join(table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label"), "label").select("query_id", "doc_id"))
+    lambda s, d: R.class_recall(_dense(s, d), table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label"), table(s, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label"))
 )
-query("corpus_dedupe_first", "SELECT min(doc_id) AS doc_id, count(DISTINCT source) AS n FROM documents WHERE text IS NOT NULL GROUP BY text".replace(", count(DISTINCT source) AS n", ""))(lambda s, d: R.dedupe(table(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text"), F.col("text"), "doc_id").select("doc_id"))
+query("corpus_dedupe_first", "SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY text")(lambda s, d: R.dedupe(table(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text"), F.col("text"), "doc_id").select("doc_id"))
 query("corpus_dedupe_longest", "SELECT doc_id, k AS key FROM (SELECT doc_id, source || lang AS k, row_number() OVER (PARTITION BY source || lang ORDER BY length(text) DESC, doc_id) AS n FROM documents WHERE text IS NOT NULL) WHERE n = 1")(
     lambda s, d: R.dedupe(table(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text", F.concat("source", "lang").alias("key")), F.col("key"), "doc_id", "text").select("doc_id", "key")
 )
@@ -62,3 +62,33 @@ query("qa_em", f"SELECT conv_id, turn, {r('CASE WHEN role = ' + chr(39) + 'user'
 )
 query("token_f1", f"SELECT conv_id, turn, {r('CASE WHEN role = ' + chr(39) + 'user' + chr(39) + ' THEN 0.8 ELSE 0.4 END', 'f1')} FROM {_MADE}")(lambda s, d: _made(s, d).select("conv_id", "turn", S.token_f1(S.answer_tag(_t()), F.concat(F.lit("the user of "), F.col("conv_id").cast("string"))).alias("f1")))
 query("think_lengths", "SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) AS INTEGER) AS n FROM conversations WHERE text IS NOT NULL AND NOT regexp_matches(text, '(?i)</?think>')")(lambda s, d: _made(s, d).where(~F.lower("text").rlike("(?s)think>.*think>.*think>")).select("conv_id", "turn", S.think_lengths(_t())[0].alias("n")))
+
+# Each item's own context: its text as two documents' sentences, asked for its first words.
+_CTX = """c AS (SELECT item_id, coalesce(text, '') AS text, left(coalesce(text, ''), 40) AS q FROM benchmark)
+    , d AS (SELECT item_id, q, 'Alpha' AS title, [left(text, 90), substr(text, 91, 90)] AS ss FROM c UNION ALL SELECT item_id, q, 'beta', [substr(text, 60, 100)] FROM c UNION ALL SELECT item_id, q, 'Gamma', ['nothing'] FROM c)
+    , w AS (SELECT item_id, q, title, ss, list_concat(list_concat(t, list_concat(t, t)), x) AS ts FROM (SELECT *, """ + _TERMS.replace("coalesce(text, '')", "title") + """ AS t, """ + _TERMS.replace("coalesce(text, '')", "array_to_string(ss, ' ')") + """ AS x FROM d))
+    , m AS (SELECT item_id, avg(greatest(len(ts), 1)) AS mean FROM w GROUP BY 1)
+    , a AS (SELECT DISTINCT item_id, unnest(""" + _TERMS.replace("coalesce(text, '')", "q") + """) AS term FROM c)
+    , f AS (SELECT w.item_id, w.title, term, len(ts) AS len, len(list_filter(ts, lambda t: t = term)) AS tf FROM w JOIN a ON w.item_id = a.item_id)
+    , g AS (SELECT item_id, term, count(*) FILTER (tf > 0) AS df FROM f GROUP BY 1, 2)
+    , s AS (SELECT f.item_id, f.title, sum(ln(1 + (3 - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * greatest(f.len, 1) / mean))) AS score FROM f JOIN g ON f.item_id = g.item_id AND f.term = g.term JOIN m ON f.item_id = m.item_id GROUP BY 1, 2)
+    , b AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, lower(title)) AS n FROM s)"""
+
+
+def _contexts(s, d):
+    t = F.coalesce("text", F.lit(""))
+    return table(s, d, "benchmark").select("item_id", F.left(t, F.lit(40)).alias("q"), F.array(F.lit("Alpha"), F.lit("beta"), F.lit("Gamma")).alias("title"), F.array(F.array(F.left(t, F.lit(90)), F.substr(t, F.lit(91), F.lit(90))), F.array(F.substr(t, F.lit(60), F.lit(100))), F.array(F.lit("nothing"))).alias("ss"))
+
+
+query("context_search", f"WITH {_CTX} SELECT item_id, title, {r('score', 'score')} FROM b WHERE n <= 2 AND round(score, 9) > 0")(
+    lambda s, d: _contexts(s, d).select("item_id", F.explode(R.search_context(F.col("q"), F.col("title"), F.col("ss"))).alias("f")).select("item_id", "f.title", "f.score")
+)
+query("search_answers", f"WITH {_CTX}, n AS (SELECT item_id, count(*) FILTER (n <= 2 AND round(score, 9) > 0) AS k, count(*) FILTER (n <= 2 AND round(score, 9) > 0 AND title = 'Alpha') AS hit FROM b GROUP BY 1) SELECT c.item_id, CASE WHEN trim(q, chr(32) || chr(9) || chr(10) || chr(13)) = '' OR c.item_id % 5 = 0 THEN 0 ELSE coalesce(k, 0) END ::INTEGER AS results, trim(q, chr(32) || chr(9) || chr(10) || chr(13)) = '' OR c.item_id % 5 = 0 AS format_error, {r('CASE WHEN trim(q, chr(32) || chr(9) || chr(10) || chr(13)) = ' + chr(39) * 2 + ' OR c.item_id % 5 = 0 THEN 0 ELSE coalesce(hit, 0) / 2.0 END', 'recall')} FROM c LEFT JOIN n USING (item_id)")(
+    lambda s, d: _contexts(s, d).withColumn("g", R.answer_search(F.col("q"), F.col("title"), F.col("ss"), F.col("item_id") % 5 != 0)).select("item_id", "g.results", "g.format_error", R.title_recall(F.col("g.titles"), F.array(F.lit(" ALPHA"), F.lit("x"))).alias("recall"))
+)
+query("full_text_search", """WITH x AS (SELECT doc_id, regexp_extract_all(lower(coalesce(source, '')), '[\\p{L}\\p{N}]+') AS t, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS b FROM documents), l AS (SELECT doc_id, len(t) + len(b) AS len FROM x), z AS (SELECT count(*) AS n, avg(len) AS a FROM l)
+    , q AS (SELECT DISTINCT item_id AS query_id, unnest(""" + _TERMS + f""") AS term FROM benchmark), e AS (SELECT doc_id, unnest(t) AS term, 3.0 AS c FROM x UNION ALL SELECT doc_id, unnest(b), 1.0 FROM x), p AS (SELECT doc_id, term, sum(c) AS tf FROM e WHERE term IN (SELECT term FROM q) GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM p GROUP BY 1)
+    , s AS (SELECT query_id, doc_id, sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))) AS score FROM p JOIN q USING (term) JOIN d USING (term) JOIN l USING (doc_id), z GROUP BY 1, 2)
+    SELECT query_id, doc_id, {r('score', 'score')}, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")(
+    lambda s, d: R.weighted_search(table(s, d, "documents").select("doc_id", F.col("source").alias("title"), "text"), table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 5)
+)

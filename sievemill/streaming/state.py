@@ -47,7 +47,7 @@ def count_windows(stream: DataFrame, key: Column, item: Column, order: Column, n
     return _stateful(stream, key, item, order, F.lit(None), "window long, place long, item long", "waiting array<long>, done long", step)
 
 
-def bounded_queue(stream: DataFrame, key: Column, item: Column, order: Column, take: Column, capacity: int) -> DataFrame:
+def bounded_queue(stream: DataFrame, key: Column, item: Column, order: Column, take: Column, capacity: int, clear: Column | None = None) -> DataFrame:
     """(key, event, item) of a first-in-first-out queue per key that drops its oldest item when a full one is added to.
 
     A row with `take` removes the oldest item, others add theirs. Events: put, dropped, consumed; a take on an empty
@@ -59,7 +59,11 @@ def bounded_queue(stream: DataFrame, key: Column, item: Column, order: Column, t
     def step(held, items, takes):
         queue, events = list(held[0]) if held else [], []
         for i, t in zip(items, takes):
-            if t == "true":
+            if t == "clear":
+                events += [("cleared", q) for q in queue]
+                queue.clear()
+                continue
+            if t == "take":
                 if queue:
                     events.append(("consumed", queue.pop(0)))
                 continue
@@ -69,13 +73,15 @@ def bounded_queue(stream: DataFrame, key: Column, item: Column, order: Column, t
             events.append(("put", i))
         return (queue,), {"event": [e for e, _ in events], "item": [i for _, i in events]}
 
-    return _stateful(stream, key, item, order, F.coalesce(take, F.lit(False)), "event string, item long", "queue array<long>", step)
+    more = F.when(F.coalesce(clear if clear is not None else F.lit(False), F.lit(False)), "clear").when(F.coalesce(take, F.lit(False)), "take").otherwise("put")
+    return _stateful(stream, key, item, order, more, "event string, item long", "queue array<long>", step)
 
 
 def queue_statistics(events: DataFrame) -> DataFrame:
     """(key, produced, consumed, dropped, size) from the events of bounded_queue."""
     n = lambda e: F.count_if(F.col("event") == e)
-    return events.groupBy("key").agg(n("put").alias("produced"), n("consumed").alias("consumed"), n("dropped").alias("dropped")).withColumn("size", F.expr("produced - consumed - dropped"))
+    sums = events.groupBy("key").agg(n("put").alias("produced"), n("consumed").alias("consumed"), n("dropped").alias("dropped"), n("cleared").alias("_cleared"))
+    return sums.withColumn("size", F.expr("produced - consumed - dropped - _cleared")).drop("_cleared")
 
 
 def step_barrier(stream: DataFrame, step: Column, item: Column, order: Column, status: Column) -> DataFrame:
