@@ -143,12 +143,14 @@ def crossover(a: Counter, b: Counter, need: dict[int, int], capacity: int, rng:
     left, child = dict(need), Counter()
 
     def take(pattern, m):
-        held = Counter(pattern)
-        m = min(m, *(left[r] // k for r, k in held.items()))
-        if m:
-            child[pattern] += m
-            for r, k in held.items():
-                left[r] -= m * k
+        kinds = set(pattern)
+        for r in kinds:
+            m = min(m, left[r] // pattern.count(r))
+            if not m:
+                return
+        child[pattern] += m
+        for r in kinds:
+            left[r] -= m * pattern.count(r)
 
     share = rng.uniform(0.2, 0.8)
     for pattern, m in b.items():
@@ -182,15 +184,20 @@ def evolve(population: list[Counter], need: dict[int, int], capacity: int, seed:
         order = sorted(need, key=lambda r: -r * rng.uniform(0.97, 1.0))
         population.append(best_fit(need, Counter(), capacity, order if population else None))
     least = lower_bound(need, capacity)
+    # Each individual is measured once.
+    held = [(fitness(x, capacity), x) for x in population]
+    order = lambda m: m[0]
     for _ in range(CHILDREN):
-        if min(sum(x.values()) for x in population) == least:
+        if min(-f[0] for f, _ in held) == least:
             break
-        a, b = (max(rng.sample(population, 2), key=lambda x: fitness(x, capacity)) for _ in range(2))
+        a, b = (max(rng.sample(held, 2), key=order)[1] for _ in range(2))
         child = crossover(a, b, need, capacity, rng)
-        population.append(mutate(child, need, capacity, rng) if rng.random() < 0.5 else child)
-        population.sort(key=lambda x: fitness(x, capacity), reverse=True)
-        del population[POPULATION:]
-    return sorted(population, key=lambda x: fitness(x, capacity), reverse=True)
+        if rng.random() < 0.5:
+            child = mutate(child, need, capacity, rng)
+        held.append((fitness(child, capacity), child))
+        held.sort(key=order, reverse=True)
+        del held[POPULATION:]
+    return [x for _, x in sorted(held, key=order, reverse=True)]
 
 
 def plan(spark: SparkSession, need: dict[int, int], capacity: int) -> Counter:
