@@ -62,16 +62,22 @@ def differencing(costs: list[int], k: int, equal_size: bool = False) -> list[lis
         raise ValueError(f"{len(costs)} items don't make {k} parts of one size")
     order = sorted(range(len(costs)), key=lambda i: (costs[i], i))
     step = k if equal_size else 1
+    by = lambda p: (-p.sum, -p.size)
+    # A solution lists its parts that hold something, heaviest first; the others weigh nothing.
+    spread = lambda parts: parts[0].sum - (parts[-1].sum if len(parts) == k else 0)
     heap = []
     for at in range(0, len(order), step):
-        parts = sorted((_Part(costs[i], 1, (i,)) for i in order[at : at + step]), key=lambda p: -p.sum) + [_Part() for _ in range(k - step)]
-        heap.append((parts[-1].sum - parts[0].sum, at, parts))
+        parts = sorted((_Part(costs[i], 1, (i,)) for i in order[at : at + step]), key=by)
+        heap.append((-spread(parts), at, parts))
     heapq.heapify(heap)
     while len(heap) > 1:
         (_, at, a), (_, _, b) = heapq.heappop(heap), heapq.heappop(heap)
-        merged = sorted((x.joined(y) for x, y in zip(a, reversed(b), strict=True)), key=lambda p: (-p.sum, -p.size))
-        heapq.heappush(heap, (merged[-1].sum - merged[0].sum, at, merged))
-    return [p.flat() for p in heap[0][2]] if heap else [[] for _ in range(k)]
+        # The i-th heaviest part of one meets the i-th lightest of the other, which is mostly an empty one.
+        alone = max(0, k - len(a))
+        met = [p.joined(b[k - 1 - i]) if k - 1 - i < len(b) else p for i, p in enumerate(a)]
+        merged = sorted(met + b[:alone], key=by)
+        heapq.heappush(heap, (-spread(merged), at, merged))
+    return [p.flat() for p in heap[0][2]] + [[] for _ in range(k - len(heap[0][2]))] if heap else [[] for _ in range(k)]
 
 
 def balanced(costs: list[int], k: int, equal_size: bool = False) -> list[list[int]]:
