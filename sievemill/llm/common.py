@@ -211,3 +211,23 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         if state == seen and now.join(before, ["src", "dst"], "left_anti").isEmpty():
             return now.select(F.col("src").alias("id"), F.col("dst").alias("root")).unionByName(now.select(F.col("dst").alias("id"), F.col("dst").alias("root")).distinct())
         seen = state
+
+
+def numbered(df: DataFrame, order: list, name: str, count: str | None = None) -> tuple[DataFrame, int]:
+    """(df with `at`, each row's place from 0 in that order; how many rows there are, or for how many `count` is true).
+
+    Rows are dealt out by ranges of the order, written, and counted for each range; a row for each range meets on one task.
+    """
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    made = written(ordered.withColumn("_id", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_id", 33)
+    sizes = made.groupBy(part.alias("_part")).agg(F.count("*").alias("n"), F.count_if(F.col(count)).alias("k") if count else F.count("*").alias("k"))
+    sizes = sorted(sizes.collect())
+    spark = df.sparkSession
+    base, rows = 0, []
+    for p, n, _ in sizes:
+        rows.append((p, base))
+        base += n
+    bases = F.broadcast(spark.createDataFrame(rows, "_part long, _base long"))
+    out = made.withColumn("_part", part).join(bases, "_part").withColumn("at", F.col("_base") + F.col("_id").bitwiseAND((1 << 33) - 1))
+    return out.drop("_part", "_base", "_id"), sum(k for _, _, k in sizes)

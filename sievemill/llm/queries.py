@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, neighbours, packing, pseudonyms, quality, simhash, token_files, warc
+from . import chat, conversation_repair, decontaminate, fingerprints, line_dedup, neighbours, packing, pseudonyms, quality, resampling, simhash, token_files, warc
 from .common import work_dir
 
 _table = lambda spark, sf_dir, name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -63,7 +63,19 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.ids_digest(token_files.read(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_nearest, op3_warc, op4_chat, op5_line_dedup, op6_quality, op7_simhash, op8_pack, op9_pseudonyms, op10_token_files)}
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_trial(_table(spark, sf_dir, "documents"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report(conversation_repair.repair(conversation_repair.damaged(_table(spark, sf_dir, "conversations"))))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_nearest, op3_warc, op4_chat, op5_line_dedup, op6_quality, op7_simhash, op8_pack, op9_pseudonyms, op10_token_files, op11_fingerprints, op12_repair, op13_resample)}
 
 #: The words of a text, as op1 takes them.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
