@@ -80,6 +80,12 @@ QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_nearest, op3_warc, op4
 #: The words of a text, as op1 takes them.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: CRC-32 of the UTF-8 bytes of `s`, which DuckDB lacks: a table of 256 numbers made by shifts, then a fold over the bytes.
+_CRC = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(hex(encode({s}))), 2), lambda i: CAST(('0x' || substr(hex(encode({s})), i, 2)) AS BIGINT))),
+    lambda c, b: xor(c >> 8, crc_table.t[CAST((xor(c, b) & 255) + 1 AS BIGINT)]))"""
+_CRC_TABLE = """crc_table AS (SELECT list(c ORDER BY n) AS t FROM (
+    SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) AS c FROM range(256) r(n)))"""
+
 ORACLE_SQL = {
     "op1_decontaminate": f"""
         WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
@@ -125,4 +131,65 @@ ORACLE_SQL = {
                CAST(sum(12 + length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + 11) AS BIGINT) AS formatted_chars
         FROM t GROUP BY conv_id
     """,
+    "op12_repair": f"""
+        WITH RECURSIVE {_CRC_TABLE},
+        raw AS (SELECT conv_id AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+        sums AS (SELECT key, xor({_CRC.format(s="key")}, 4294967295) % 20 AS kind FROM (SELECT DISTINCT key FROM raw), crc_table),
+        hurt AS (
+            SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text, kind
+            FROM raw JOIN sums USING (key) WHERE kind <> 0
+        ),
+        twice AS (SELECT conv, turn, role, text FROM hurt UNION ALL SELECT conv, turn, role, text FROM hurt WHERE kind = 3),
+        n AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS i FROM twice),
+        f AS (
+            SELECT *, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS again,
+                   right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') AS cut,
+                   CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END AS r, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY i) || left(role, 1) AS pair
+            FROM n
+        ),
+        counts AS (
+            SELECT conv, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again AND NOT blank) AS duplicate,
+                   count(*) FILTER (WHERE cut AND NOT again AND NOT blank) AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv
+        ),
+        gap(q, t, ins, roles) AS (VALUES ('0', 's', 0, ''), ('0', 'u', 0, ''), ('0', 'a', 1, 'u'), ('0', 'e', 0, ''), ('s', 'u', 0, ''), ('s', 'a', 1, 'u'), ('s', 'e', 2, 'ua'), ('u', 'u', 1, 'a'), ('u', 'a', 0, ''), ('u', 'e', 1, 'a'), ('a', 'u', 0, ''), ('a', 'a', 1, 'u'), ('a', 'e', 0, '')),
+        best AS (
+            SELECT DISTINCT conv, CAST(0 AS BIGINT) AS i, '0' AS q, {{'c': CAST(0 AS BIGINT), 'e': '', 'x': ''}} AS b FROM f
+            UNION ALL
+            SELECT conv, i, q, min(b) FROM (
+                SELECT p.conv, f.i, p.q, {{'c': p.b.c + 2, 'e': p.b.e || 'D', 'x': p.b.x}} AS b FROM best p JOIN f ON f.conv IS NOT DISTINCT FROM p.conv AND f.i = p.i + 1
+                UNION ALL
+                SELECT p.conv, f.i, g.t, {{'c': p.b.c + 5 * g.ins + CASE WHEN f.r = g.t THEN 0 ELSE 1 END + CASE WHEN f.cut THEN 5 ELSE 0 END, 'e': p.b.e || repeat('I', g.ins) || CASE WHEN f.r = g.t THEN 'K' ELSE 'R' END,
+                       'x': p.b.x || CASE g.roles WHEN 'u' THEN 'user:' || chr(10) WHEN 'a' THEN 'assistant:' || chr(10) ELSE '' END || CASE WHEN f.r = g.t THEN f.role WHEN g.t = 'u' THEN 'user' ELSE 'assistant' END || ':' || f.text || chr(10)}} AS b
+                FROM best p JOIN f ON f.conv IS NOT DISTINCT FROM p.conv AND f.i = p.i + 1 JOIN gap g ON g.q = p.q AND g.t <> 'e' AND (f.r = g.t OR g.t <> 's') WHERE NOT f.blank AND NOT f.again
+            ) GROUP BY conv, i, q
+        ),
+        ends AS (
+            SELECT p.conv, min({{'c': p.b.c + 5 * g.ins, 'e': p.b.e || repeat('I', g.ins), 'x': p.b.x || CASE g.roles WHEN 'a' THEN 'assistant:' || chr(10) WHEN 'ua' THEN 'user:' || chr(10) || 'assistant:' || chr(10) ELSE '' END}}) AS b
+            FROM best p JOIN counts c ON c.conv IS NOT DISTINCT FROM p.conv AND c.n = p.i JOIN gap g ON g.q = p.q AND g.t = 'e' GROUP BY p.conv
+        )
+        SELECT k.conv AS conv_id, CAST(coalesce(c.gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(c.blank, 0) AS BIGINT) AS blank, CAST(coalesce(c.duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(c.truncated, 0) AS BIGINT) AS truncated,
+               CAST(coalesce(c.illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(e.b.c, 0) AS BIGINT) AS cost, coalesce(e.b.e, '') AS audit, sha256(coalesce(left(e.b.x, greatest(length(e.b.x) - 1, 0)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv FROM raw) k LEFT JOIN counts c ON c.conv IS NOT DISTINCT FROM k.conv LEFT JOIN ends e ON e.conv IS NOT DISTINCT FROM k.conv
+    """,
+    "op13_resample": f"""
+        WITH {_CRC_TABLE},
+        d AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents),
+        b AS (SELECT {_WORDS} AS w FROM benchmark),
+        dw AS (SELECT row, x, count(*) AS n FROM (SELECT row, unnest(w) AS x FROM d) GROUP BY row, x),
+        bw AS (SELECT x, count(*) AS n FROM (SELECT unnest(w) AS x FROM b) GROUP BY x),
+        bucket AS (SELECT x, xor({_CRC.format(s="x")}, 4294967295) % 10000 AS k FROM (SELECT x FROM dw UNION SELECT x FROM bw), crc_table),
+        s AS (SELECT k, sum(n) AS n FROM dw JOIN bucket USING (x) GROUP BY k),
+        t AS (SELECT k, sum(n) AS n FROM bw JOIN bucket USING (x) GROUP BY k),
+        sums AS (SELECT coalesce((SELECT sum(n) FROM s), 0) AS s, coalesce((SELECT sum(n) FROM t), 0) AS t),
+        gain AS (SELECT k, floor(1000 * ln(CAST((coalesce(t.n, 0) + 1) * (sums.s + 10000) AS DOUBLE) / CAST((s.n + 1) * (sums.t + 10000) AS DOUBLE))) AS g FROM s LEFT JOIN t USING (k), sums),
+        weight AS (SELECT row, CAST(sum(n) AS BIGINT) AS n, CAST(floor(sum(n * g) / sum(n)) AS BIGINT) AS w FROM dw JOIN bucket USING (x) JOIN gain USING (k) GROUP BY row),
+        score AS (
+            SELECT doc_id, coalesce(n, 0) AS n, coalesce(weight.w, 0) AS w,
+                   coalesce(weight.w, 0) + CAST(floor(-1000 * ln(-ln((CAST(('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) + 0.5) / 4294967296.0))) AS BIGINT) AS score
+            FROM d LEFT JOIN weight USING (row)
+        ),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS r, count(*) FILTER (WHERE n >= 20) OVER () AS fit FROM score)
+        SELECT doc_id, n AS n_features, w AS weight, score, CASE WHEN n >= 20 AND r <= 10 * fit // 100 THEN r END AS rank FROM placed
+    """,
 }
