@@ -42,9 +42,9 @@ def run_hashes(points: np.ndarray, k: int = K) -> np.ndarray:
     if k <= 1:
         return common.mix(points.astype(np.uint64) + _TURN)
     half = k // 2
-    left = run_hashes(points[: len(points) - (k - half)], half)
-    right = run_hashes(points[half:], k - half)
-    return common.mix(left * _JOIN + right)
+    left = run_hashes(points, half)
+    right = left[half:] if k == 2 * half else run_hashes(points[half:], k - half)
+    return common.mix(left[: len(right)] * _JOIN + right)
 
 
 def numbered(h: np.ndarray) -> np.ndarray:
@@ -59,6 +59,18 @@ def numbered(h: np.ndarray) -> np.ndarray:
     return common.mix(h + nth * _TURN)
 
 
+_held = [np.empty(0, np.uint64)]
+
+
+def _room(size: int) -> np.ndarray:
+    """Memory that is used again for the next text, of which a large one takes its own."""
+    if size > CELLS:
+        return np.empty(size, np.uint64)
+    if len(_held[0]) < CELLS:
+        _held[0] = np.empty(CELLS, np.uint64)
+    return _held[0]
+
+
 def sketch(text: str) -> np.ndarray:
     """The SIZE 16-bit hashes of a text's fingerprint."""
     points = np.frombuffer(text.encode("utf-32-le"), "<u4")
@@ -67,9 +79,10 @@ def sketch(text: str) -> np.ndarray:
     h = run_hashes(points)
     element, n = numbered(h), len(h)
     take, step = min(TUPLE, n), max(1, CELLS // n)
-    out = np.empty(SIZE, np.uint64)
+    out, room = np.empty(SIZE, np.uint64), _room(min(step, SIZE) * n)
     for a in range(0, SIZE, step):
-        keys = element[None] * _ODD[a : a + step, None]
+        odd = _ODD[a : a + step, None]
+        keys = np.multiply(element[None], odd, out=room[: len(odd) * n].reshape(len(odd), n))
         rows = np.arange(len(keys))
         places = np.empty((len(keys), take), np.int64)
         for j in range(take):
