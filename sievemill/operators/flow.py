@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from concurrent.futures import Future, ThreadPoolExecutor
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,51 +60,6 @@ def sample_log(rows: DataFrame, step: int, sample: str) -> DataFrame:
     return rows.select(F.lit(step).alias("step"), F.col(sample).alias("sample"), pairs.alias("p")).select("step", "sample", "p.*")
 
 
-class Later:
-    """Writes that run one after the other in the background; a failed one raises at the next call."""
-
-    def __init__(self):
-        self.pool, self.last = ThreadPoolExecutor(1), None
-
-    def run(self, write: Callable[[], None]) -> Future:
-        self.check()
-        self.last = self.pool.submit(write)
-        return self.last
-
-    def check(self) -> None:
-        if self.last is not None and self.last.done():
-            last, self.last = self.last, None
-            last.result()
-
-    def close(self) -> None:
-        self.pool.shutdown()
-        self.check()
-
-
-class Balancer:
-    """A server for each request: the one that the request had, while it is there, else that with the fewest requests at work."""
-
-    def __init__(self, *servers: str):
-        self.at_work, self.known = dict.fromkeys(servers, 0), {}
-
-    def acquire(self, request: str) -> str:
-        server = self.known.get(request)
-        if server not in self.at_work:
-            if not self.at_work:
-                raise RuntimeError("no server is there")
-            server = min(self.at_work, key=self.at_work.get)
-            self.known[request] = server
-        self.at_work[server] += 1
-        return server
-
-    def release(self, server: str) -> None:
-        if self.at_work.get(server):
-            self.at_work[server] -= 1
-
-    def remove(self, server: str) -> None:
-        self.at_work.pop(server, None)
-
-
 def after_update(in_flight: int, queued: int, started: float, idle_since: float | None, now: float) -> dict[str, float]:
     """What an update of the weights sets: stale samples, and how long and how idle the version was."""
     took = max(now - started, 1e-6)

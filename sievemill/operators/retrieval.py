@@ -229,22 +229,6 @@ def answer_search(query: Column, title: Column, sentences: Column, parsed: Colum
     return _let(found, lambda f: F.struct(F.coalesce(error, rendered(asked, f)).alias("text"), F.coalesce(F.size(f), F.lit(0)).alias("results"), F.transform(f, lambda d: d["title"]).alias("titles"), error.isNotNull().alias("format_error")))
 
 
-def weighted_search(docs: DataFrame, queries: DataFrame, k: int, title_weight: float = 3.0, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, doc_id, score, rank over docs(doc_id, title, text) by BM25 of a full-text index with two columns: a word's
-    count is the weighted sum of its counts by column, lengths count both columns, and an idf of 0 or less counts as 1e-6."""
-    words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    both = docs.select("doc_id", words(F.col("title")).alias("t"), words(F.col("text")).alias("x")).withColumn("len", F.size("t") + F.size("x"))
-    totals = both.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    long = both.select("doc_id", "len", F.explode(F.concat(F.transform("t", lambda w: F.struct(w.alias("term"), F.lit(float(title_weight)).alias("c"))), F.transform("x", lambda w: F.struct(w.alias("term"), F.lit(1.0).alias("c"))))).alias("w")).select("doc_id", "len", "w.*")
-    posts = long.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id", "len").agg(F.sum("c").alias("tf"))
-    held = posts.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(totals))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = asked.join(held.withColumn("idf", F.when(idf <= 0, 1e-6).otherwise(idf)), "term")
-    share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return rank(posts.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * share).alias("score")), k)
-
-
 def title_recall(retrieved: Column, gold: Column) -> Column:
     """The share of distinct gold titles among the retrieved ones; titles are compared folded, with single blanks."""
     plain = lambda c: F.array_distinct(F.filter(F.transform(c, lambda t: F.trim(F.regexp_replace(F.lower(t), r"(?U)\s+", " "))), lambda t: t != ""))

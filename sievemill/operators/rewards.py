@@ -1,8 +1,7 @@
-"""Scoring of whole tables: scorers by data source, rewards at the last token, scorers that run as Python, rates of calls."""
+"""Scoring of whole tables: scorers by data source, rewards at the last token, scorers that run as Python."""
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -105,59 +104,13 @@ def score_batches(rows: DataFrame, score: Callable[[pd.DataFrame], list[float]])
     return rows.mapInPandas(run, rows.select("*", F.lit(0.0).alias("score")).schema)
 
 
-def guarded(score: Callable[..., float], timeout: float | None = None, clock: Callable[[], float] = time.monotonic) -> Callable[[pd.DataFrame], list[float]]:
-    """A batch scorer that gives 0 to rows whose score fails, or took longer than the timeout."""
-
-    def run(frame: pd.DataFrame) -> list[float]:
-        out = []
-        for row in frame.itertuples(index=False):
-            start = clock()
-            try:
-                value = float(score(*row))
-            except Exception:
-                value = 0.0
-            out.append(0.0 if timeout is not None and clock() - start > timeout else value)
-        return out
-
-    return run
-
-
-class TokenBucket:
-    """Permits that refill continuously, up to `most`; a request for more than that runs into debt."""
-
-    def __init__(self, rate: float, most: float | None = None, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
-        if rate <= 0:
-            raise ValueError("the rate must be positive")
-        self.rate, self.most = rate, rate if most is None else most
-        self.held, self.at, self.clock, self.sleep = self.most, None, clock, sleep
-
-    def _refill(self) -> None:
-        now = self.clock()
-        self.held = min(self.most, self.held + (0.0 if self.at is None else now - self.at) * self.rate)
-        self.at = now
-
-    def acquire(self, n: float = 1.0) -> None:
-        """Wait until n permits are there, and take them."""
-        self._refill()
-        if n > self.most:
-            short = n - self.held
-            self.held -= n
-            if short > 0:
-                self.sleep(short / self.rate)
-            return
-        while self.held < n - 1e-9:  # below what a sleep can tell apart
-            self.sleep((n - self.held) / self.rate)
-            self._refill()
-        self.held -= n
-
-
-def limited(score: Callable[..., float], requests: TokenBucket, tokens: TokenBucket | None = None, size: Callable[..., int] | None = None) -> Callable[..., float]:
-    """A scorer that waits for a request's permit and for its tokens' permits; a worker keeps its own buckets, so a rate is for each."""
-
-    def run(*row):
-        requests.acquire()
-        if tokens is not None:
-            tokens.acquire(size(*row))
-        return score(*row)
-
-    return run
+def guarded(score: Callable[..., float]) -> Callable[[pd.DataFrame], list[float]]:
+    """A batch scorer that gives 0 to rows whose score fails."""
+
+    def one(row) -> float:
+        try:
+            return float(score(*row))
+        except Exception:
+            return 0.0
+
+    return lambda frame: [one(row) for row in frame.itertuples(index=False)]

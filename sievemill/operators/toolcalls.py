@@ -137,40 +137,49 @@ def _tag_arguments(body: str, known: list[str]) -> dict[str, str]:
     return out
 
 
+#: How far a call is to be believed: a tag of its tool in a batch, a JSON object in a block, an opened tag alone.
+IN_BATCH, IN_BLOCK, TRIED = range(3)
+
+
+def candidate_calls(text: str, tools: dict[str, list[str]]):
+    """(kind, place, name, arguments) of whatever looks like a call; arguments are the tool's known ones, None where they can't be read."""
+    marks, names = Tags(text, ("tool_calls", "tool_call"), exact=True), Tags(text, tuple(tools), exact=True)
+    first = next(iter(marks.spans("tool_calls")), None)
+    if first is not None:
+        body = text[first.first : first.last]
+        inner = Tags(body, tuple(tools), exact=True)
+        yield from ((IN_BATCH, s.start, name, _tag_arguments(body[s.first : s.last], tools[name])) for name in tools for s in inner.spans(name))
+    for block in marks.spans("tool_call"):
+        objects, whole = json_objects(text[block.first : block.last])
+        for o in objects:
+            yield IN_BLOCK, block.start, o.get("name"), _known_arguments(o, tools) if whole else None
+    opened = lambda t: t.bare and not t.closing
+    yield from ((TRIED, t.start, t.name, {}) for t in names.all if opened(t))
+    if any(opened(t) for t in marks.all):
+        yield TRIED, len(text), next(iter(tools)), {}
+
+
+def _known_arguments(call: dict, tools: dict[str, list[str]]) -> dict | None:
+    """The arguments, given as an object or as its text, that the called tool has."""
+    known, given = tools.get(call["name"]) if isinstance(call.get("name"), str) else None, call.get("arguments", {})
+    try:
+        given = json.loads(given) if isinstance(given, str) else given
+    except ValueError:
+        return None
+    return {k: given[k] for k in given if k in known} if known is not None and isinstance(given, dict) else None
+
+
 def read_schema_calls(text: str | None, tools: dict[str, list[str]]) -> list[tuple[str, str]]:
     """(name, arguments as JSON) of one turn's calls of known tools with known parameters; thoughts hold none.
 
-    Calls in tags of their tool's name, in the first batch, come before JSON calls in blocks. A text that only tries to call gets
-    one call without arguments: of the first tool whose tag it opens, or else of the first tool.
+    Only calls of the most credible kind that is there count, those with arguments; of mere trials the first, without any.
     """
-    text = text or ""
-    for s in reversed(Tags(text, ("think",)).spans("think")):
-        text = f"{text[: s.start]} {text[s.end :]}"
-    marks = Tags(text, ("tool_calls", "tool_call"), exact=True)
-    out: list[tuple[str, dict]] = []
-    for batch in marks.spans("tool_calls")[:1]:
-        body = text[batch.first : batch.last]
-        calls = Tags(body, tuple(tools), exact=True)
-        found = [(s.start, name, _tag_arguments(body[s.first : s.last], known)) for name, known in tools.items() for s in calls.spans(name)]
-        out = [(name, given) for _, name, given in sorted(found, key=lambda f: f[0]) if given]
-    if not out:
-        for block in marks.spans("tool_call"):
-            objects, whole = json_objects(text[block.first : block.last])
-            for o in objects if whole else []:
-                given, name = o.get("arguments", {}), o.get("name")
-                if isinstance(given, str):
-                    try:
-                        given = json.loads(given)
-                    except ValueError:
-                        continue
-                if isinstance(name, str) and name in tools and isinstance(given, dict):
-                    kept = {k: v for k, v in given.items() if k in tools[name]}
-                    out += [(name, kept)] if kept else []
-    if not out:
-        tried = [t.name for t in Tags(text, tuple(tools), exact=True).all if t.bare and not t.closing]
-        if tried or any(t.bare and not t.closing for t in marks.all):
-            out = [(tried[0] if tried else next(iter(tools)), {})]
-    return [(name, json.dumps(given, ensure_ascii=False)) for name, given in out]
+    said, at = "", 0
+    for s in Tags(text or "", ("think",)).spans("think"):
+        said, at = f"{said}{text[at : s.start]} ", s.end
+    found = sorted(((k, place, i, name, given) for i, (k, place, name, given) in enumerate(candidate_calls(said + (text or "")[at:], tools)) if given or k == TRIED), key=lambda c: c[:3])
+    best = [(name, given) for k, _, _, name, given in found if k == found[0][0]]
+    return [(name, json.dumps(given, ensure_ascii=False)) for name, given in (best[:1] if found and found[0][0] == TRIED else best)]
 
 
 def _calls_udf(read):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
 from ..operators import scoring as S
+from ..operators import searchindex as I
 from ..session import table
 from .base import query, r
 
@@ -22,7 +23,13 @@ _DENSE = """e AS (SELECT vec_id, embedding FROM embeddings), x AS (SELECT a.vec_
 
 
 def _bm25(s, d):
-    return R.bm25(table(s, d, "documents").select("doc_id", "text"), table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
+    index = I.index_of(table(s, d, "documents"), (d, "words"), fields={"text": 1.0})
+    return I.search(s, index, table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
+
+
+def _full_text(s, d):
+    index = I.index_of(table(s, d, "documents"), (d, "full text"), fields={"source": 3.0, "text": 1.0}, token=I.LETTERS, stop=False, least=0, k1=1.2)
+    return I.search(s, index, table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 5, I.floored_idf, False)
 
 
 def _dense(s, d):
@@ -89,6 +96,4 @@ query("search_answers", f"WITH {_CTX}, n AS (SELECT item_id, count(*) FILTER (n
 query("full_text_search", """WITH x AS (SELECT doc_id, regexp_extract_all(lower(coalesce(source, '')), '[\\p{L}\\p{N}]+') AS t, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS b FROM documents), l AS (SELECT doc_id, len(t) + len(b) AS len FROM x), z AS (SELECT count(*) AS n, avg(len) AS a FROM l)
     , q AS (SELECT DISTINCT item_id AS query_id, unnest(""" + _TERMS + f""") AS term FROM benchmark), e AS (SELECT doc_id, unnest(t) AS term, 3.0 AS c FROM x UNION ALL SELECT doc_id, unnest(b), 1.0 FROM x), p AS (SELECT doc_id, term, sum(c) AS tf FROM e WHERE term IN (SELECT term FROM q) GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM p GROUP BY 1)
     , s AS (SELECT query_id, doc_id, sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))) AS score FROM p JOIN q USING (term) JOIN d USING (term) JOIN l USING (doc_id), z GROUP BY 1, 2)
-    SELECT query_id, doc_id, {r('score', 'score')}, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")(
-    lambda s, d: R.weighted_search(table(s, d, "documents").select("doc_id", F.col("source").alias("title"), "text"), table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 5)
-)
+    SELECT query_id, doc_id, {r('score', 'score')}, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")(_full_text)

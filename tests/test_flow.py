@@ -1,4 +1,4 @@
-"""Background writes, server choice, queues that are cleared, and searches on single cases."""
+"""Updates, queues that are cleared, and searches on single cases."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,29 +9,6 @@ from sievemill.operators import retrieval as R
 from sievemill.streaming import runner, state
 
 
-def test_later_raises_once():
-    done, later = [], X.Later()
-    later.run(lambda: done.append(1)).result()
-    later.run(lambda: 1 / 0).exception()
-    with pytest.raises(ZeroDivisionError):
-        later.run(lambda: done.append(2))
-    later.run(lambda: done.append(3)).result()
-    later.close()
-    assert done == [1, 3]
-
-
-def test_balancer():
-    b = X.Balancer("a", "b")
-    assert [b.acquire(x) for x in ("r1", "r2", "r1", "r3")] == ["a", "b", "a", "b"]
-    b.release("a"), b.release("a")
-    assert b.acquire("r4") == "a"
-    b.remove("a")
-    assert b.acquire("r1") == "b"
-    b.remove("b")
-    with pytest.raises(RuntimeError):
-        b.acquire("r9")
-
-
 def test_after_update():
     assert X.after_update(2, 3, 10.0, 15.0, 20.0) == {"stale_samples": 5, "version_time": 10.0, "active_time": 5.0, "idle_ratio": 0.5}
     assert X.after_update(0, 0, 10.0, None, 20.0)["idle_ratio"] == 0
