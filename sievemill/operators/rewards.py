@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..registry import SCORERS
 from ..session import ship
+from . import mathequal as Q
 from . import mathtext as M
 from . import scoring as S
 from . import tokens as T
@@ -38,8 +39,8 @@ ROUTES = {
 
 @SCORERS.register("geometry")
 def geometry(text: Column, gold: Column, format_share: float = 0.1) -> Column:
-    """The boxed answer, equal to the gold one in LaTeX normal form, and to a small share the layout."""
-    right = F.coalesce(M.latex_equal(M.boxed_answer(text), gold), F.lit(False))
+    """The boxed answer, graded against the gold one, and to a small share the layout."""
+    right = Q.grade_answer(M.boxed_answer(text), gold)
     return (1 - format_share) * F.when(right, 1.0).otherwise(0.0) + format_share * M.think_and_box(text)
 
 
