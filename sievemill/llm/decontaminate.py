@@ -104,11 +104,19 @@ class Tests:
     def __init__(self, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, window: int):
         codes, counts = word_codes(data, offsets)
         first = np.cumsum(counts) - counts
+        # Items of equal words are one class, of which the smallest id stands for all.
+        classes: dict[bytes, int] = {}
+        of = np.array([classes.setdefault(codes[a : a + n].tobytes(), len(classes)) for a, n in zip(first.tolist(), counts.tolist(), strict=True)], np.int64)
+        by = np.lexsort((ids, of))
+        self.class_ids, self.class_from = ids[by], np.searchsorted(of[by], np.arange(len(classes) + 1))
+        one = by[self.class_from[:-1]]
+        ids, first, counts = ids[one], first[one], counts[one]
         width = np.minimum(counts, window)
         n_win = np.where(counts > 0, counts - width + 1, 0)
+        self.ids = ids
         item = np.repeat(np.arange(len(ids)), n_win)
         place = np.arange(n_win.sum()) - np.repeat(np.cumsum(n_win) - n_win, n_win)
-        self.codes, self.ids = codes, ids
+        self.codes = codes
         begin, size = first[item] + place, width[item]
         # Equal windows are looked for once: of each length, they are grouped by their words.
         self.of = np.zeros(len(begin), np.int64)
@@ -122,8 +130,6 @@ class Tests:
         one = np.unique(self.of, return_index=True)[1] if len(begin) else np.zeros(0, np.int64)
         self.begin, self.want, self.item, self.place = begin[one], size[one], item, place
         self.length = self.want.copy()
-        by = np.argsort(self.of, kind="stable")
-        self.members, self.member_from = by, np.searchsorted(self.of[by], np.arange(len(one) + 1))
 
 
 def _spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +139,40 @@ def _spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[which]
 
 
+#: Matches, of a window's place in a text with its place in an item, that are held at once.
+MATCHES = 1 << 20
+
+
+def _matches(t: Tests, win: np.ndarray, where: np.ndarray, size: int):
+    """(class, place in it, place in the line, width) of all matches, class by class; one with very many by ranges of diagonals.
+
+    win, where: the windows found and their places, sorted; size: more than any place.
+    """
+    edge = np.searchsorted(win, np.arange(len(t.want) + 1))
+    n = np.diff(edge)[t.of]
+    held = np.flatnonzero(n)
+    item, place, of, n = t.item[held], t.place[held], t.of[held], n[held]
+    from_ = np.flatnonzero(np.append(True, item[1:] != item[:-1])) if len(item) else np.zeros(0, np.int64)
+    to, total = np.append(from_[1:], len(item)), np.append(0, np.cumsum(n))
+    at = 0
+    while at < len(from_):
+        # As many classes as stay below MATCHES, or one.
+        end = max(at + 1, int(np.searchsorted(total[to], total[from_[at]] + MATCHES, "right")))
+        a, b = int(from_[at]), int(to[end - 1])
+        if total[b] - total[a] <= MATCHES:
+            row, spot = _spans(edge[of[a:b]], edge[of[a:b] + 1])
+            yield item[a:b][row], place[a:b][row], where[spot], t.want[of[a:b]][row]
+        else:  # a diagonal holds one match at most for each place of the item
+            key, step = win * size + where, max(1, MATCHES // (b - a))
+            base, shift = of[a:b] * size, place[a:b]
+            for d in range(-int(shift.max()), size, step):
+                lo, hi = (np.searchsorted(key, base + np.clip(x + shift, 0, size - 1)) for x in (d, d + step))
+                row, spot = _spans(lo, hi)
+                if len(row):
+                    yield item[a:b][row], shift[row], where[spot], t.want[of[a:b]][row]
+        at = end
+
+
 def shard_hits(codes: np.ndarray, counts: np.ndarray, blocks, window: int = WINDOW) -> dict[str, list]:
     """What blocks of tests, of windows of at most `window` words, find in the texts of a shard: a row for each text."""
     n_docs, total = len(counts), int(counts.sum())
@@ -148,37 +188,47 @@ def shard_hits(codes: np.ndarray, counts: np.ndarray, blocks, window: int = WIND
             order = suffix_array(line, window)
         lo, hi = search(line, order, t.codes, t.begin, t.length, t.want)
         win, slot = _spans(lo, hi)
-        where, width = order[slot], t.want[win]
+        where = order[slot]
+        by = np.lexsort((where, win))
+        win, where = win[by], where[by]
         np.add.at(cover, where, 1)
-        np.add.at(cover, where + width, -1)
-        # Every place of a window with every item that has the window.
-        row, member = _spans(t.member_from[win], t.member_from[win + 1])
-        member = t.members[member]
-        where, width = where[row], width[row]
-        item, place = t.item[member], t.place[member]
-        doc = np.searchsorted(first, where, "right") - 1
-        pairs.append(np.unique(np.stack([doc, t.ids[item]], 1), axis=0) if len(doc) else np.zeros((0, 2), np.int64))
-        # Windows that follow each other on a diagonal make one longest match.
-        by = np.lexsort((where, where - place, item))
-        item, where, place, width, doc = item[by], where[by], place[by], width[by], doc[by]
-        new = np.ones(len(by), bool)
-        new[1:] = (item[1:] != item[:-1]) | (where[1:] != where[:-1] + 1) | (place[1:] != place[:-1] + 1) | (doc[1:] != doc[:-1])
-        head = np.flatnonzero(new)
-        size = np.diff(np.append(head, len(by))) - 1 + width[head] if len(head) else np.zeros(0, np.int64)
-        best.append((doc[head], size, where[head] - first[doc[head]], t.ids[item[head]], place[head]))
+        np.add.at(cover, where + t.want[win], -1)
+        found = []
+        for item, place, at, width in _matches(t, win, where, len(line) + 1):
+            doc = np.searchsorted(first, at, "right") - 1
+            found.append(np.unique(doc * len(t.ids) + item))
+            # Windows that follow each other on a diagonal make one longest match.
+            by = np.lexsort((at, at - place, item))
+            item, at, place, width, doc = item[by], at[by], place[by], width[by], doc[by]
+            new = np.ones(len(by), bool)
+            new[1:] = (item[1:] != item[:-1]) | (at[1:] != at[:-1] + 1) | (place[1:] != place[:-1] + 1) | (doc[1:] != doc[:-1])
+            head = np.flatnonzero(new)
+            size = np.diff(np.append(head, len(by))) - 1 + width[head]
+            best.append(_leaders((doc[head], size, at[head] - first[doc[head]], t.ids[item[head]], place[head])))
+        # Each class of a text once, then all its items.
+        doc, item = np.divmod(np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64), max(len(t.ids), 1))
+        row, member = _spans(t.class_from[item], t.class_from[item + 1])
+        pairs.append((doc[row], t.class_ids[member]))
     hit = np.append(0, np.cumsum(np.cumsum(cover[:-1]) > 0))
     n_hit = hit[first + counts] - hit[first]
-    pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-    edge = np.searchsorted(pairs[:, 0], np.arange(n_docs + 1))
-    b = [np.concatenate(x) for x in zip(*best, strict=True)]
-    by = np.lexsort((b[4], b[3], b[2], -b[1], b[0]))
-    b = [x[by] for x in b]
-    lead = np.searchsorted(b[0], np.arange(n_docs))
+    doc, items = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
+    by = np.lexsort((items, doc))
+    doc, items = doc[by], items[by]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (items[1:] != items[:-1]))[: len(doc)]
+    doc, items = doc[new], items[new]
+    edge = np.searchsorted(doc, np.arange(n_docs + 1))
+    b = _leaders([np.concatenate(x) for x in zip(*best, strict=True)])
     longest = [np.full(n_docs, fill, np.int64) for fill in (0, -1, -1, -1)]
-    some = np.flatnonzero(n_hit > 0)
     for out, x in zip(longest, b[1:], strict=True):
-        out[some] = x[lead[some]]
-    return {"n_words": counts, "n_hit": n_hit, "items": pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(pairs[:, 1], pa.int64())), "longest": longest}
+        out[b[0]] = x
+    return {"n_words": counts, "n_hit": n_hit, "items": pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(items, pa.int64())), "longest": longest}
+
+
+def _leaders(b) -> list[np.ndarray]:
+    """Of (text, length, start, item, start in it) the longest match of each text; of equals that with the smallest numbers."""
+    by = np.lexsort((b[4], b[3], b[2], -b[1], b[0]))
+    by = by[np.append(True, np.diff(b[0][by]) != 0)[: len(by)]]
+    return [x[by] for x in b]
 
 
 def _blocks(bench: DataFrame, window: int) -> list:

@@ -120,10 +120,9 @@ def patience(shared: list[tuple[list[int], list[int]]]) -> set[tuple[int, int]]:
     """
     got: set[tuple[int, int]] = set()
     top = 1 << 60
-    work = [(shared, -1, top, -1, top)]
+    work = [([(bs, as_) for bs, as_ in shared if bs and as_], -1, top, -1, top)]
     while work:
-        part, b0, b1, a0, a1 = work.pop()
-        inside = [(bs, as_) for bs, as_ in (([x for x in bs if b0 < x < b1], [x for x in as_ if a0 < x < a1]) for bs, as_ in part) if bs and as_]
+        inside, b0, b1, a0, a1 = work.pop()
         if not inside:
             continue
         single = [len(bs) == len(as_) == 1 for bs, as_ in inside]
@@ -139,14 +138,21 @@ def patience(shared: list[tuple[list[int], list[int]]]) -> set[tuple[int, int]]:
             continue
         chain = [(anchors[k][0], -anchors[k][1]) for k in _longest_rising([-a for _, a in anchors])]
         got.update(chain)
-        # Each of the other runs goes to the gaps that it has places in, so a level costs no more than its places.
+        # Each of the other runs goes to the gaps that it has places in, with these alone, so a level costs no more than its places.
         edges = [(b0, a0), *chain, (b1, a1)]
         begins = [b for b, _ in edges]
         gaps: dict[int, list] = {}
         for (bs, as_), one in zip(inside, single, strict=True):
             if not one:
-                for g in {bisect_left(begins, x) - 1 for x in bs}:
-                    gaps.setdefault(g, []).append((bs, as_))
+                at = 0
+                while at < len(bs):
+                    g = bisect_left(begins, bs[at]) - 1
+                    end = bisect_left(bs, edges[g + 1][0], at)
+                    held = as_[bisect_left(as_, edges[g][1] + 1) : bisect_left(as_, edges[g + 1][1])]
+                    inner = bs[at + (bs[at] == edges[g + 1][0]) : end]
+                    if inner and held:
+                        gaps.setdefault(g, []).append((inner, held))
+                    at = max(end, at + 1)
         work += [(p, edges[g][0], edges[g + 1][0], edges[g][1], edges[g + 1][1]) for g, p in gaps.items()]
     return got
 
@@ -182,8 +188,9 @@ def _aligned(table: pa.RecordBatch) -> pa.RecordBatch:
         shared = [(at[b_off[i] : b_off[i + 1] : n[i]].tolist(), f_at[a_off[i] : a_off[i + 1] : n[i]].tolist()) for i in range(x, y)]
         to: dict[int, int] = dict(patience(shared))
         for i, (bs, as_) in zip(range(x, y), shared, strict=True):
+            places = set(as_)
             for k, place in enumerate(bs):
-                if to.get(place, -1) in as_:
+                if to.get(place, -1) in places:
                     good[b_off[i] + k * n[i] : b_off[i] + (k + 1) * n[i]] = True
     doc = np.repeat(np.cumsum(new_doc) - 1, np.diff(b_off))[good]
     line = at[good].astype(np.int64)

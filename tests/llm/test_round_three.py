@@ -333,3 +333,56 @@ def test_resample_whole_table(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     bench = [r[0] for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("text").collect()]
     assert key(tuple(r) for r in llm.op13_resample(spark, SF).collect()) == key(plain_resample(docs, bench))
+
+
+# Faults of earlier operators ----------------------------------------------------------------------------------------------
+
+
+def test_contamination_by_many_equal_items(spark):
+    """Ten thousand items of one word, and items that repeat a word, against a long text of that word, in bounded memory."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from sievemill.llm import common, decontaminate
+
+    items = [(i, "a") for i in range(10_000)] + [(20_000 + i, "a " * 300) for i in range(3)]
+    texts = ["a " * 100_000, "b", "x a y", None]
+    rows = decontaminate.find_contamination(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string").coalesce(1)).orderBy("doc_id").collect()
+    assert [(r["n_hit"], len(r["item_ids"])) for r in rows] == [(100_000, 10_003), (0, 0), (1, 10_000), (0, 0)]
+    assert (rows[0]["longest_words"], rows[0]["longest_start"], rows[0]["longest_item"]) == (300, 0, 20_000)
+    tests = decontaminate.Tests(np.array([i for i, _ in items]), *common.utf8(pa.array([t for _, t in items])), 10)
+    tracemalloc.start()
+    decontaminate.shard_hits(*decontaminate.word_codes(*common.utf8(pa.array(texts))), [tests])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 << 20
+
+
+def test_matches_by_ranges_of_diagonals(monkeypatch):
+    import pyarrow as pa
+
+    from sievemill.llm import common, decontaminate
+
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abb") for _ in range(rng.randrange(0, 90))) for _ in range(12)]
+    items = [" ".join(rng.choice("abb") for _ in range(rng.randrange(1, 30))) for _ in range(15)]
+    items += items[:3]
+    d, k = decontaminate.word_codes(*common.utf8(pa.array(texts)))
+    found = []
+    for most in (1 << 20, 40, 3):
+        monkeypatch.setattr(decontaminate, "MATCHES", most)
+        tests = decontaminate.Tests(np.arange(len(items)), *common.utf8(pa.array(items)), 10)
+        r = decontaminate.shard_hits(d, k, [tests])
+        found.append((r["n_hit"].tolist(), r["items"].to_pylist(), [x.tolist() for x in r["longest"]]))
+    assert found[0] == found[1] == found[2] and max(found[0][0]) > 10
+
+
+def test_patience_is_linear_in_places():
+    import time
+
+    from sievemill.llm.line_dedup import patience
+
+    n, start = 40_000, time.time()
+    got = patience([([2 * i], [2 * i]) for i in range(n)] + [([2 * i + 1 for i in range(n)], [2 * i + 1 for i in range(n)])])
+    assert got == {(i, i) for i in range(2 * n)} and time.time() - start < 5
