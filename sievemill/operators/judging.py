@@ -79,7 +79,9 @@ def fill_quotas(accepted: DataFrame, kind: str, quotas: dict[str, int], seed: in
     """The first accepted rows of each kind, as many as its quota, shuffled by a seeded hash (column place); too few fail the query."""
     number = F.row_number().over(Window.partitionBy(kind).orderBy(turn, key))
     want = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
-    kept = accepted.where(F.col(kind).isin(list(quotas))).withColumn("_n", number).where(F.col("_n") <= want[F.col(kind)]).drop("_n")
+    kept = accepted.where(F.col(kind).isin(list(quotas))).withColumn("_n", number)
+    # The greatest quota as a literal lets Spark cut each kind to so many rows in every task before it shuffles.
+    kept = kept.where((F.col("_n") <= max(quotas.values())) & (F.col("_n") <= want[F.col(kind)])).drop("_n")
     n = kept.agg(F.count(F.lit(1)).alias("_have"))
     total = sum(quotas.values())
     ok = F.when(F.col("_have") == total, True).otherwise(F.raise_error(F.concat(F.lit(f"{total} rows are asked for, there are "), F.col("_have").cast("string"))).cast("boolean"))

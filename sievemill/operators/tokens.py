@@ -175,11 +175,13 @@ def geo_mean(seqs: DataFrame, low: float = 0.2, high: float = 0.2) -> DataFrame:
     return df.agg(F.avg("l").alias("loss"), (F.sum("u") / n).alias("clipfrac"), (F.sum("k") / n).alias("ppo_kl"), (F.sum("d") / n).alias("clipfrac_lower"))
 
 
-def _covariance(seqs: DataFrame) -> DataFrame:
-    """Valid tokens in long form with their covariance term (adv - mean) * (logp - mean), means over all valid tokens."""
-    long = seqs.select("traj_id", F.explode("tok").alias("x")).where("x.mask = 1").select("traj_id", "x.*")
-    means = long.agg(F.avg("adv").alias("_a"), F.avg("logp").alias("_l"), F.count(F.lit(1)).alias("_n"))
-    return long.join(F.broadcast(means)).withColumn("cov", (F.col("adv") - F.col("_a")) * (F.col("logp") - F.col("_l")))
+def _covariance(seqs: DataFrame) -> tuple[DataFrame, int]:
+    """(valid tokens in long form with their covariance term (adv - mean) * (logp - mean), how many there are); means within the arrays, in one pass."""
+    part = lambda f: F.aggregate("tok", F.lit(0.0), lambda s, x: s + F.when(x["mask"] == 1, f(x)).otherwise(0.0))
+    n, a, b = seqs.agg(F.sum(part(lambda x: F.lit(1.0))), F.sum(part(lambda x: x["adv"])), F.sum(part(lambda x: x["logp"]))).first()
+    n = int(n or 0)
+    long = seqs.select("traj_id", F.explode(F.filter("tok", lambda x: x["mask"] == 1)).alias("x")).select("traj_id", "x.*")
+    return long.withColumn("cov", (F.col("adv") - F.lit((a or 0.0) / max(n, 1))) * (F.col("logp") - F.lit((b or 0.0) / max(n, 1)))), n
 
 
 def first_rows(rows: DataFrame, value: str, ties: list[str], count: int) -> DataFrame:
@@ -193,28 +195,55 @@ def first_rows(rows: DataFrame, value: str, ties: list[str], count: int) -> Data
     return with_row_index(part if part.count() >= count else rows, value, *ties).where(F.col(ROW) < count).drop(ROW)
 
 
+def last_of_first(rows: DataFrame, order: list[str], count: int, n: int):
+    """The row in place `count` of an order of n rows, as (values); the last one if there are fewer. Ties are settled by the further columns.
+
+    An approximate quantile leaves little more than `count` rows, which are numbered in ranges.
+    """
+    share = min(1.0, 1.5 * count / max(n, 1) + 0.001)
+    cut, held = rows.agg(F.percentile_approx(order[0], share, 10_000), F.count(F.lit(1))).first()
+    if not held:
+        return None
+    part = rows.where(F.col(order[0]) <= F.lit(cut))
+    at = min(count, held) - 1
+    found = with_row_index(part, *order).where(F.col(ROW) == at).first() or with_row_index(rows, *order).where(F.col(ROW) == at).first()
+    return [found[c] for c in order]
+
+
+def _up_to(order: list[Column], values: list | None) -> Column:
+    """Whether a row stands at or before these values in the order."""
+    if values is None:
+        return F.lit(False)
+    out = F.lit(True)
+    for c, v in reversed(list(zip(order, values, strict=True))):
+        out = (c < F.lit(v)) | ((c == F.lit(v)) & out)
+    return out
+
+
 @LOSSES.register()
 def kl_cov(seqs: DataFrame, ratio: float = 0.0002, coef: float = 1.0) -> DataFrame:
     """REINFORCE with ratio; the tokens of largest covariance also pay |kl|. The mean over valid tokens."""
-    long = _covariance(seqs)
-    count = max(1, math.floor(long.count() * ratio))
-    top = first_rows(long.select((-F.round("cov", 12)).alias("_v"), "traj_id", "t"), "_v", ["traj_id", "t"], count).select("traj_id", "t", F.lit(True).alias("_top"))
+    long, n = _covariance(seqs)
+    value = (-F.round("cov", 12)).alias("_v")
+    last = last_of_first(long.select(value, "traj_id", "t"), ["_v", "traj_id", "t"], max(1, math.floor(n * ratio)), n)
+    top = _up_to([-F.round("cov", 12), F.col("traj_id"), F.col("t")], last)
     x = F.col("logp") - F.col("old_logp")
-    loss = -F.col("adv") * F.exp(x) + F.when(F.col("_top"), coef * F.abs(x)).otherwise(0.0)
-    return long.join(top, ["traj_id", "t"], "left").agg((F.sum(loss) / F.count(F.lit(1))).alias("loss"), F.avg(F.abs(x)).alias("ppo_kl"), F.count_if("_top").alias("n_top"))
+    loss = -F.col("adv") * F.exp(x) + F.when(top, coef * F.abs(x)).otherwise(0.0)
+    return long.agg((F.sum(loss) / F.count(F.lit(1))).alias("loss"), F.avg(F.abs(x)).alias("ppo_kl"), F.count_if(top).alias("n_top"))
 
 
 @LOSSES.register()
 def clip_cov(seqs: DataFrame, ratio: float = 0.0002, low: float = 0.2, high: float = 0.2, cov_low: float = 1.0, cov_high: float = 5.0, seed: int = 0) -> DataFrame:
     """PPO without the tokens of a random choice among those with covariance between the bounds; the choice is by a seeded hash."""
-    long = _covariance(seqs)
-    count = max(1, math.floor(long.count() * ratio))
+    long, n = _covariance(seqs)
     x = F.exp(F.col("logp") - F.col("old_logp"))
     l1, l2 = -F.col("adv") * x, -F.col("adv") * clamp(x, 1 - low, 1 + high)
-    open_ = long.where((F.col("cov") > cov_low) & (F.col("cov") < cov_high) & ~(l2 > l1)).select(F.xxhash64("traj_id", "t", F.lit(seed)).alias("_v"), "traj_id", "t")
-    chosen = first_rows(open_, "_v", ["traj_id", "t"], count).select("traj_id", "t", F.lit(0.0).alias("_z"))
-    off = F.coalesce("_z", F.lit(1.0))
-    return long.join(chosen, ["traj_id", "t"], "left").agg(F.avg(F.greatest(l1, l2) * off).alias("loss"), F.avg(1 - off).alias("clipfrac"), F.avg(F.col("old_logp") - F.col("logp")).alias("ppo_kl"))
+    may = (F.col("cov") > cov_low) & (F.col("cov") < cov_high) & ~(l2 > l1)
+    place = F.xxhash64("traj_id", "t", F.lit(seed))
+    open_ = long.where(may).select(place.alias("_v"), "traj_id", "t")
+    last = last_of_first(open_, ["_v", "traj_id", "t"], max(1, math.floor(n * ratio)), open_.count())
+    off = F.when(may & _up_to([place, F.col("traj_id"), F.col("t")], last), 0.0).otherwise(1.0)
+    return long.agg(F.avg(F.greatest(l1, l2) * off).alias("loss"), F.avg(1 - off).alias("clipfrac"), F.avg(F.col("old_logp") - F.col("logp")).alias("ppo_kl"))
 
 
 def value_loss(seqs: DataFrame, returns: Token, prediction: Token, clip: float = 0.5, mode: str = "token-mean") -> DataFrame:

@@ -115,7 +115,7 @@ query("mean_sequence_kl", with_sql("tokens", body=f", q AS (SELECT sum((old_logp
 _GAE = """
     , n AS (SELECT *, min(CASE WHEN mask = 1 THEN t END) OVER (PARTITION BY traj_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nt FROM tokens)
     , v AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY traj_id ORDER BY t) AS k, coalesce(lead(value) OVER (PARTITION BY traj_id ORDER BY t), 0) AS nv FROM tokens WHERE mask = 1)
-    , a AS MATERIALIZED (SELECT i.traj_id, i.t, sum(power(0.99 * 0.95, j.k - i.k) * (j.reward + 0.99 * j.nv - j.value)) AS adv FROM v i JOIN v j ON i.traj_id = j.traj_id AND j.k >= i.k GROUP BY 1, 2)
+    , a AS MATERIALIZED (SELECT traj_id, t, sum(power(0.99 * 0.95, k) * (reward + 0.99 * nv - value)) OVER (PARTITION BY traj_id ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / power(0.99 * 0.95, k) AS adv FROM v)
     , g AS MATERIALIZED (SELECT n.traj_id, n.t, n.mask, n.value, coalesce(a.adv, 0) AS adv FROM n LEFT JOIN a ON a.traj_id = n.traj_id AND a.t = n.nt)"""
 _arrays("gae_returns", "ret", with_sql("tokens", body=f"{_GAE} SELECT traj_id, t, {r('adv + value', 'ret')} FROM g"), lambda q: T.gae(q, 0.99, 0.95))
 _arrays(
