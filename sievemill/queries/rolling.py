@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rollouts as R
 from ..session import table, work_dir
+from ..sources import tables as N
 from ..sources.payloads import Payloads
 from .base import query
 
@@ -73,3 +74,13 @@ def _separate(s, d):
 
 
 query("payload_separation", "SELECT doc_id, source, lang, CAST(len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS BIGINT) AS words, sha256(coalesce(text, '')) AS text_sha256 FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC NULLS LAST, doc_id) AS place FROM documents) WHERE place <= 2")(_separate)
+
+
+def _growing(s, d):
+    """Lines whose fields and kinds of numbers grow, as one typed table."""
+    line = F.when(F.col("turn") % 3 == 0, F.format_string('{"conv": %d, "x": %d}', "conv_id", "turn")).when(F.col("turn") % 3 == 1, F.format_string('{"conv": %d, "x": %d.5, "more": {"a": %d}}', "conv_id", "turn", "turn")).otherwise(F.format_string('{"conv": %d, "more": {"b": "t%d", "a": null}}', "conv_id", "turn"))
+    out = N.merged_rows(table(s, d, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL").select(line.alias("line")), "line")
+    return out.select("conv", "x", F.col("more.a").alias("a"), F.col("more.b").alias("b"))
+
+
+query("merged_rows", "SELECT conv_id AS conv, CASE turn % 3 WHEN 0 THEN turn WHEN 1 THEN turn + 0.5 END::DOUBLE AS x, CASE WHEN turn % 3 = 1 THEN turn END AS a, CASE WHEN turn % 3 = 2 THEN 't' || turn END AS b FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL")(_growing)

@@ -5,6 +5,7 @@ Paths are any that Hadoop file systems know; nothing is copied to a local disk f
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -135,6 +136,23 @@ def normalize_documents(df: DataFrame) -> DataFrame:
     return df.withColumns({"title": trim(F.col("title")), "sentences": kept}).where("title <> '' AND size(sentences) > 0")
 
 
+def merged_schema(rows: DataFrame, column: str) -> str:
+    """One type for all JSON objects of a text column, as DDL: the union of their fields, of numbers the wider kind; what fits no one type is a variant."""
+    kind = rows.agg(F.schema_of_variant_agg(F.try_parse_json(column))).first()[0] or "VOID"
+    # Numbers with a point are doubles; what was null throughout is text.
+    for old, new in ((r"\bOBJECT<", "STRUCT<"), (r"\bDECIMAL\(\d+,\s*\d+\)", "DOUBLE"), (r"\bVOID\b", "STRING")):
+        kind = re.sub(old, new, kind)
+    return kind
+
+
+def merged_rows(rows: DataFrame, column: str) -> DataFrame:
+    """The JSON objects of a text column as rows of one merged_schema(); absent fields and lines that don't parse are null."""
+    kind = merged_schema(rows, column)
+    if not kind.startswith("STRUCT<"):
+        raise ValueError(f"no objects of one type in {column}: {kind}")
+    return rows.select(F.try_variant_get(F.try_parse_json(column), "$", kind).alias("_v")).select("_v.*")
+
+
 def metric_rows(spark: SparkSession, metrics: dict, step: int) -> DataFrame:
     """(step, key, value) of one step's metrics, to be appended to a table; what is no number is left out."""
     rows = [(step, k, float(v)) for k, v in metrics.items() if isinstance(v, (int, float)) and not isinstance(v, bool)]
