@@ -110,6 +110,10 @@ def parse(raw: bytes) -> dict:
     return {"type": kind, "record_id": named.get("warc-record-id"), "page_id": number(named.get("warc-record-id", "")), "refers_to": number(named.get("warc-refers-to", "")), "url": url, "digest": digest, "payload": payload, "payload_bytes": size}
 
 
+#: The longest header that a record may have; a stream without a blank line is no archive, and isn't held whole.
+HEADER_BYTES = 8 << 20
+
+
 def split_records(chunks):
     """The raw records of an uncompressed WARC stream, which comes in chunks; only one record is held."""
     held, at, seen, need = bytearray(), 0, 0, None
@@ -122,6 +126,8 @@ def split_records(chunks):
                 # What has been searched once is not searched again, but for a mark that was cut.
                 end = held.find(_GAP, max(at, seen - 3))
                 if end < 0:
+                    if len(held) - at > HEADER_BYTES:
+                        raise ValueError(f"no WARC record: a header of more than {HEADER_BYTES} bytes")
                     seen = len(held)
                     break
                 head = bytes(held[at:end])
@@ -270,8 +276,9 @@ def read(archives: DataFrame, base: str) -> DataFrame:
                 fs, root = pafs.FileSystem.from_uri(base)
                 rows, size = [], 0
                 with fs.open_input_stream(f"{root}/{archive}.idx") as index, fs.open_input_file(f"{root}/{archive}.warc.gz") as f:
-                    for line in index.read().decode().splitlines():
-                        at, length = map(int, line.split("\t")[:2])
+                    # Only a line feed ends a line; a record id may hold any other character.
+                    for line in filter(None, index.read().split(b"\n")):
+                        at, length = map(int, line.split(b"\t")[:2])
                         r = parse(zlib.decompress(f.read_at(length, at), 31))
                         rows.append((r["record_id"], r["page_id"], r["url"], r["type"], r["refers_to"], None if r["type"] == "revisit" else r["payload"], r["payload_bytes"], r["digest"]))
                         size += len(r["payload"])

@@ -386,3 +386,34 @@ def test_patience_is_linear_in_places():
     n, start = 40_000, time.time()
     got = patience([([2 * i], [2 * i]) for i in range(n)] + [([2 * i + 1 for i in range(n)], [2 * i + 1 for i in range(n)])])
     assert got == {(i, i) for i in range(2 * n)} and time.time() - start < 5
+
+
+def test_record_ids_with_other_line_breaks(spark, tmp_path):
+    """Next line, line separator and form feed in a record id end no line of the sidecar."""
+    import gzip
+
+    from sievemill.llm import warc
+
+    def record(k, body):
+        block = f"HTTP/1.1 200 OK\r\nContent-Length: {len(body)}\r\n\r\n{body}".encode()
+        return f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:a\u0085b c\x0c{k}>\r\nWARC-Target-URI: http://x/{k}\r\nContent-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    index = b"".join(f"{at}\t{n}\t<urn:a\u0085b c\x0c{k}>\n".encode() for k, (at, n) in enumerate(_members(tmp_path / "own.warc.gz", [record(k, "body " * (k + 1)) for k in range(3)])))
+    (tmp_path / "own.idx").write_bytes(index)
+    rows = warc.read(spark.createDataFrame([("own",)], "archive string"), f"file://{tmp_path}").collect()
+    assert sorted(r["payload"] for r in rows) == sorted(("body " * (k + 1)).encode() for k in range(3))
+    with pytest.raises(ValueError, match="header"):
+        list(warc.split_records([b"WARC/1.0\r\n" + b"x" * (1 << 20)] * 10))
+
+
+def _members(path, records):
+    """Write each record as a gzip member; (offset, length) of each."""
+    import gzip
+
+    out, places = b"", []
+    for raw in records:
+        member = gzip.compress(raw)
+        places.append((len(out), len(member)))
+        out += member
+    path.write_bytes(out)
+    return places
