@@ -6,7 +6,8 @@ variants, but a variant is not a row: a fingerprint is sent once to each prefix
 task of a prefix makes the variants with that prefix, sorts them, and links the owners of equal ones. As all owners of
 one variant are within the radius of each other (for an odd radius: of those that are nearer to it), they are linked to
 the smallest owner, so a large ball costs a star, not all pairs. The number of prefixes follows the number of
-fingerprints; a prefix with too many variants is split by a hash of the variant.
+fingerprints; a prefix with too many variants is split by its next bits, where a fingerprint goes only to those
+continuations that its variants have, so that no variant is made twice.
 
 keep_one() takes documents as near-duplicates whose sets of NEAR_WORDS-word shingles have a Jaccard similarity of NEAR or
 more. Links of fingerprints, over shingles as long, are its first candidates, but a ball cannot hold that similarity (at 0.8
@@ -40,6 +41,8 @@ from . import common
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints of a prefix whose variants fit in about 64 MB, and variants that a task makes.
 PREFIX_FINGERPRINTS, TASK_VARIANTS = 4000, 8_000_000
+#: Bits by which a prefix with more variants is made longer, and the most bits of one: 256 fingerprints can then agree in all of them.
+MORE_BITS, MOST_BITS = 8, 56
 
 #: Similarity 4/5, and minima (of BANDS * ROWS) whose four bits may differ in sketches of candidates: four deviations over the mean at 0.8.
 NEAR_WORDS, NEAR, BANDS, ROWS, SKETCH_APART = 5, (4, 5), 36, 7, 72
@@ -99,11 +102,8 @@ def _masks(bits: int, weight: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for w in range(weight + 1) for c in combinations(range(bits), w)], np.uint64)
 
 
-def ball_links(fps: np.ndarray, names: np.ndarray, prefix: int, bits: int, radius: int, salt: int = 0, salts: int = 1) -> np.ndarray:
-    """Rows (name, fingerprint, name, fingerprint): owners of equal variants with this prefix (their lowest bits) and the least of them by name.
-
-    Only variants whose hash is `salt` modulo `salts` are looked at.
-    """
+def ball_links(fps: np.ndarray, names: np.ndarray, prefix: int, bits: int, radius: int) -> np.ndarray:
+    """Rows (name, fingerprint, name, fingerprint): owners of equal variants with this prefix (their lowest bits) and the least of them by name."""
     half, near = (radius + 1) // 2, radius // 2
     low = np.uint64((1 << bits) - 1)
     by = np.lexsort((fps, names))
@@ -118,11 +118,7 @@ def ball_links(fps: np.ndarray, names: np.ndarray, prefix: int, bits: int, radiu
         for a in range(0, len(at), PREFIX_FINGERPRINTS):
             own = at[a : a + PREFIX_FINGERPRINTS]
             made = (((fps[own] & ~low) | np.uint64(prefix))[:, None] ^ high[None, :]).ravel()
-            owner, is_close = np.repeat(own.astype(np.int32), len(high)), np.tile(close, len(own))
-            if salts > 1:
-                mine = common.mix(made) % np.uint64(salts) == np.uint64(salt)
-                made, owner, is_close = made[mine], owner[mine], is_close[mine]
-            found.append((made, owner, is_close))
+            found.append((made, np.repeat(own.astype(np.int32), len(high)), np.tile(close, len(own))))
     variants, owners, closes = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64),) * 3
     # Only values that occur twice matter; one plain sort finds them.
     values = np.sort(variants)
@@ -142,29 +138,44 @@ def ball_links(fps: np.ndarray, names: np.ndarray, prefix: int, bits: int, radiu
     return np.stack([names[a], signed[a], names[b], signed[b]], 1)
 
 
+def _longer(rows: DataFrame, held: int, more: int, half: int) -> DataFrame:
+    """rows(fp, name, k, prefix: `held` bits, k of them flipped) under each prefix of `more` further bits that one of their variants has."""
+    flips = F.array(*[F.lit(int(m)) for m in _masks(more, half)])
+    wide = rows.select("*", F.explode(F.filter(flips, lambda m: F.bit_count(m) + F.col("k") <= half)).alias("flip"))
+    own = F.shiftrightunsigned("fp", held).bitwiseAND((1 << more) - 1)
+    return wide.select("fp", "name", (F.col("k") + F.bit_count("flip")).alias("k"), F.col("prefix").bitwiseOR(F.shiftleft(own.bitwiseXOR(F.col("flip")), held)).alias("prefix"))
+
+
+def prefixes(distinct: DataFrame, radius: int, bits: int) -> DataFrame:
+    """(fp, name, bits, prefix): every fingerprint under each prefix of its variants, those with too many variants made longer."""
+    half = (radius + 1) // 2
+    rows, held, more, ready = distinct.select("fp", "name", F.lit(0).alias("k"), F.lit(0).cast("long").alias("prefix")), 0, bits, None
+    while True:
+        rows, held = _longer(rows, held, more, half), held + more
+        made = F.element_at(F.array(*[F.lit(len(_masks(64 - held, half - k))) for k in range(half + 1)]), F.col("k") + 1)
+        hot = common.written(rows.groupBy("prefix").agg(F.sum(made).alias("variants")).where(F.col("variants") > TASK_VARIANTS).select("prefix"), "hot-prefixes")
+        more = min(MORE_BITS, MOST_BITS - held)
+        last = more <= 0 or hot.isEmpty()
+        whole = (rows if last else rows.join(hot, "prefix", "left_anti")).select("fp", "name", F.lit(held).alias("bits"), "prefix")
+        ready = whole if ready is None else ready.unionByName(whole)
+        if last:
+            return ready
+        rows = rows.join(hot, "prefix", "left_semi").select("fp", "name", "k", "prefix")
+
+
 def link(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (src, dst) that connect every two fingerprints within `radius` bits.
 
     distinct(fp, name): every fingerprint once, with a number; src and dst: structs of name and fp, src the greater one.
     """
-    half = (radius + 1) // 2
     n = distinct.count()
     bits = min(24, max(6, ceil(log2(max(1, n) / PREFIX_FINGERPRINTS)) if n > PREFIX_FINGERPRINTS else 0))
-    flips = F.array(*[F.lit(int(m)) for m in _masks(bits, half)])
-    rows = distinct.select("fp", "name", F.explode(flips).alias("flip")).select("fp", "name", F.bit_count("flip").alias("k"), F.col("fp").bitwiseAND((1 << bits) - 1).bitwiseXOR(F.col("flip")).alias("prefix"))
-    made = F.element_at(F.array(*[F.lit(len(_masks(64 - bits, half - k))) for k in range(half + 1)]), F.col("k") + 1)
-    hot = common.written(rows.groupBy("prefix").agg(F.sum(made).alias("variants")).where(F.col("variants") > TASK_VARIANTS).select("prefix", F.ceil(F.col("variants") / TASK_VARIANTS).cast("int").alias("salts")), "hot-prefixes")
-    rows = rows.select("fp", "name", "prefix")
-    if hot.isEmpty():
-        rows = rows.withColumns({"salts": F.lit(1), "salt": F.lit(0)})
-    else:
-        rows = rows.join(hot, "prefix", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
 
     def run(key, frame):
-        pairs = ball_links(frame["fp"].to_numpy().view(np.uint64), frame["name"].to_numpy(), int(key[0]), bits, radius, int(key[1]), int(frame["salts"].iloc[0]))
+        pairs = ball_links(frame["fp"].to_numpy().view(np.uint64), frame["name"].to_numpy(), int(key[1]), int(key[0]), radius)
         return pd.DataFrame(dict(zip(("a", "a_fp", "b", "b_fp"), pairs.T, strict=True)))
 
-    found = rows.repartition(min(1 << bits, 4096), "prefix", "salt").groupBy("prefix", "salt").applyInPandas(run, "a long, a_fp long, b long, b_fp long")
+    found = prefixes(distinct, radius, bits).repartition(min(1 << bits, 4096), "bits", "prefix").groupBy("bits", "prefix").applyInPandas(run, "a long, a_fp long, b long, b_fp long")
     ends = [F.struct(F.col(c).alias("name"), F.col(f"{c}_fp").alias("fp")) for c in ("a", "b")]
     return found.select(ends[0].alias("src"), ends[1].alias("dst"))
 

@@ -417,3 +417,25 @@ def _members(path, records):
         out += member
     path.write_bytes(out)
     return places
+
+
+# 7 -------------------------------------------------------------------------------------------------------------------
+
+
+def test_hot_prefix_makes_no_variant_twice(spark, monkeypatch):
+    """All fingerprints agree in their lowest 16 bits; longer prefixes part them, and each variant has one prefix."""
+    from sievemill.llm import simhash
+
+    monkeypatch.setattr(simhash, "TASK_VARIANTS", 40_000)
+    rng = random.Random(4)
+    fps = [rng.getrandbits(48) << 16 | 0xBEEF for _ in range(1500)]
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    rows = simhash.prefixes(spark.createDataFrame([(f, k) for k, f in enumerate(signed)], "fp long, name long"), 4, 6).collect()
+    variants, by_prefix = {}, {}
+    for r in rows:
+        k = (((r["fp"] % 2**64) & ((1 << r["bits"]) - 1)) ^ r["prefix"]).bit_count()
+        made = sum(math.comb(64 - r["bits"], w) for w in range(2 - k + 1))
+        variants[r["name"]] = variants.get(r["name"], 0) + made
+        by_prefix[r["bits"], r["prefix"]] = by_prefix.get((r["bits"], r["prefix"]), 0) + made
+    assert set(variants.values()) == {1 + 64 + 64 * 63 // 2}
+    assert max(by_prefix.values()) <= 40_000 and max(b for b, _ in by_prefix) >= 22
