@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import balancing
+from .folding import folded_words
 from .scoring import phrase_at
 
 
@@ -34,17 +35,92 @@ def first_failing(*checks: tuple[str, Column]) -> Column:
     return F.coalesce(*[F.when(~F.coalesce(c, F.lit(False)), name) for name, c in checks], F.lit("accepted"))
 
 
-def leakage_reason(question: Column, answer: Column, kind: Column) -> Column:
-    """"answer_in_question" if the words of the answer stand in the question, else null.
-
-    Comparisons, yes, no and an answer with "or" or "and" within four words of it are exempt. Words are ASCII, lower case.
+# What people and things of a country are called, by country.
+DEMONYMS = {
+    "argentina": ("argentine", "argentinian",),
+    "australia": ("australian",),
+    "austria": ("austrian",),
+    "bangladesh": ("bangladeshi",),
+    "belgium": ("belgian",),
+    "brazil": ("brazilian",),
+    "canada": ("canadian",),
+    "chile": ("chilean",),
+    "china": ("chinese",),
+    "colombia": ("colombian",),
+    "denmark": ("danish",),
+    "egypt": ("egyptian",),
+    "england": ("english", "british",),
+    "ethiopia": ("ethiopian",),
+    "finland": ("finnish",),
+    "france": ("french",),
+    "germany": ("german",),
+    "greece": ("greek",),
+    "india": ("indian",),
+    "indonesia": ("indonesian",),
+    "iran": ("iranian",),
+    "iraq": ("iraqi",),
+    "ireland": ("irish",),
+    "israel": ("israeli",),
+    "italy": ("italian",),
+    "japan": ("japanese",),
+    "kenya": ("kenyan",),
+    "malaysia": ("malaysian",),
+    "mexico": ("mexican",),
+    "netherlands": ("dutch",),
+    "new zealand": ("new zealander",),
+    "nigeria": ("nigerian",),
+    "north korea": ("north korean",),
+    "norway": ("norwegian",),
+    "pakistan": ("pakistani",),
+    "peru": ("peruvian",),
+    "philippines": ("filipino", "philippine",),
+    "poland": ("polish",),
+    "portugal": ("portuguese",),
+    "russia": ("russian",),
+    "saudi arabia": ("saudi", "saudi arabian",),
+    "scotland": ("scottish", "british",),
+    "singapore": ("singaporean",),
+    "south africa": ("south african",),
+    "south korea": ("south korean", "korean",),
+    "spain": ("spanish",),
+    "sri lanka": ("sri lankan",),
+    "sweden": ("swedish",),
+    "switzerland": ("swiss",),
+    "thailand": ("thai",),
+    "turkey": ("turkish",),
+    "ukraine": ("ukrainian",),
+    "united kingdom": ("british", "english", "scottish", "welsh",),
+    "united states": ("american", "u s",),
+    "united states of america": ("american", "u s",),
+    "uruguay": ("uruguayan",),
+    "venezuela": ("venezuelan",),
+    "vietnam": ("vietnamese",),
+    "wales": ("welsh", "british",),
+}
+
+
+def leakage_reason(question: Column, answer: Column, kind: Column, phrases: Column | None = None) -> Column:
+    """"answer_in_question" if the words of the answer stand in the question, "country_demonym_in_question" if one of its phrases does, else null.
+
+    phrases: other names of the answer, an array of folded texts (from a join, where they are many); if not given, DEMONYMS of the
+    answer. Comparisons, yes, no and an answer with "or" or "and" within four words of it are exempt. Words are folded ones.
     """
-    q, a = (F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)) for x in (question, answer))
-    at = phrase_at(q, a)
-    near = lambda i: F.slice(q, F.greatest(i - 4, F.lit(0)) + 1, F.least(i, F.lit(4)) + F.size(a) + 4)
-    choice = F.exists(at, lambda i: F.array_contains(near(i), "or") | F.array_contains(near(i), "and"))
-    exempt = (F.lower(F.trim(F.coalesce(kind, F.lit("")))) == "comparison") | a.isin(F.array(F.lit("yes")), F.array(F.lit("no"))) | choice
-    return F.when(~exempt & (F.size(at) > 0), "answer_in_question")
+    names = F.create_map(*[x for country, d in DEMONYMS.items() for x in (F.lit(country), F.array(*map(F.lit, d)))])
+
+    def reason(row: Column) -> Column:
+        q, a = row["q"], row["a"]
+        at = phrase_at(q, a)
+        near = lambda i: F.slice(q, F.greatest(i - 4, F.lit(0)) + 1, F.least(i, F.lit(4)) + F.size(a) + 4)
+        choice = F.exists(at, lambda i: F.array_contains(near(i), "or") | F.array_contains(near(i), "and"))
+        exempt = row["compares"] | (F.size(a) == 0) | a.isin(F.array(F.lit("yes")), F.array(F.lit("no"))) | choice
+        line = F.concat(F.lit(" "), F.array_join(q, " "), F.lit(" "))
+        called = F.exists(names[F.array_join(a, " ")] if phrases is None else row["p"], lambda p: F.contains(line, F.concat(F.lit(" "), p, F.lit(" "))))
+        return F.when(exempt, None).when(F.size(at) > 0, "answer_in_question").when(called, "country_demonym_in_question")
+
+    compares = F.lower(F.trim(F.coalesce(kind, F.lit("")))) == "comparison"
+    row = F.struct(folded_words(question).alias("q"), folded_words(answer).alias("a"), compares.alias("compares"), F.lit(None).cast("array<string>").alias("p") if phrases is None else phrases.alias("p"))
+    # In an array of one, so that the words are found once and not again at each of their places.
+    return F.transform(F.array(row), reason)[0]
 
 
 def unpivot_pairs(df: DataFrame, prompt: str, *responses: str) -> DataFrame:
