@@ -35,9 +35,9 @@ def _sketched(s, d):
     exact = events.join(named, events.event_type == named.name).groupBy("name", "n", "low", "high", "_d").agg(
         F.count_distinct("user_id").alias("_u"), *[F.struct(F.avg((F.col("value") < F.col(f"_{k}")).cast("int")).alias("below"), F.avg((F.col("value") <= F.col(f"_{k}")).cast("int")).alias("upto")).alias(f"_{k}") for k in range(3)]
     )
-    fits = [(F.col(f"_{k}.below") <= q + 3 * K.RANK_ERROR) & (F.col(f"_{k}.upto") >= q - 3 * K.RANK_ERROR) for k, q in enumerate(_SHARES)]
+    fits = [(F.col(f"_{k}.below") <= q + 2 * K.RANK_ERROR) & (F.col(f"_{k}.upto") >= q - 2 * K.RANK_ERROR) for k, q in enumerate(_SHARES)]
     named_fits = [c.alias(f"p{int(q * 100)}") for c, q in zip(fits, _SHARES, strict=True)]
-    return exact.select("name", "n", "low", "high", *named_fits, (F.abs(F.col("_d") / F.col("_u") - 1) <= 4 * K.DISTINCT_ERROR).alias("users"))
+    return exact.select("name", "n", "low", "high", *named_fits, (F.abs(F.col("_d") / F.col("_u") - 1) <= 3 * K.DISTINCT_ERROR).alias("users"))
 
 
 query("merged_sketches", f"SELECT event_type AS name, count(value) AS n, {r('min(value)', 'low')}, {r('max(value)', 'high')}, true AS p50, true AS p95, true AS p99, true AS users FROM events WHERE event_type IS NOT NULL GROUP BY 1")(_sketched)
