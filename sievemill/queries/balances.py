@@ -24,7 +24,7 @@ def _summary(df, planned, *extra):
 
 
 query("token_budget_batches", with_sql("traj", body=f", {_BATCH} SELECT batch, n AS rows, CAST(tokens AS BIGINT) AS tokens, CAST(ceil(ceil(tokens / 2000.0) / 2) * 2 AS BIGINT) AS parts, true AS apart FROM z"))(
-    lambda s, d: _summary(df := _batches(s, d), A.plan(df, "batch", "traj_id", "len", lambda n: A.micro_batches(n, 2000, divisor=2)))
+    lambda s, d: _summary(df := _batches(s, d), A.micro_batch_plan(df, "batch", "traj_id", "len", 2000, divisor=2))
 )
 query("rank_balance", with_sql("traj", body=f", {_BATCH} SELECT batch, n // 4 * 4 AS rows, CAST(4 AS BIGINT) AS parts, n // 4 AS most FROM z"))(
     lambda s, d: A.plan(_batches(s, d), "batch", "traj_id", "len", lambda n: A.ranks(n[: len(n) // 4 * 4], 4)).groupBy("batch", "part").count().groupBy("batch").agg(F.sum("count").alias("rows"), F.countDistinct("part").alias("parts"), F.max("count").alias("most"))

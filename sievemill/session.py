@@ -51,6 +51,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/sievemill-{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as written to a new shared folder and read back, so that what makes it runs once."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers that are started from now on import this package from where it lies."""
     root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
