@@ -52,18 +52,11 @@ query(
     with_sql("traj", body=f", {_BATCH}, i AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY traj_id) - 1 AS i FROM b), c AS (SELECT i.batch, i.i // (z.n // 4) AS c, sum(len) AS s FROM i JOIN z USING (batch) GROUP BY 1, 2), q AS (SELECT batch, min(s) AS lo, max(s) AS hi FROM c GROUP BY batch) SELECT batch, CAST(lo AS BIGINT) AS min, CAST(hi AS BIGINT) AS max, CAST(hi - lo AS BIGINT) AS minmax_diff, {r('tokens / 4', 'mean')}, true AS better FROM q JOIN z USING (batch)"),
 )(
     lambda s, d: A.unbalance(
-        (df := _batches(s, d)).join(A.plan(df, "batch", "traj_id", "len", lambda n: A.balanced([A.cost_of(x) for x in n], 4)), ["batch", "traj_id"])
-        .withColumn("row_idx", F.row_number().over(_by_batch()) - 1), "batch", "len", 4
+        A.numbered((df := _batches(s, d)).join(A.spread(df, "batch", "traj_id", A.cost_column(F.col("len")), 4), ["batch", "traj_id"]), "batch", "traj_id"), "batch", "len", 4
     ).select("batch", "min", "max", "minmax_diff", "mean", (F.col("balanced_max") - F.col("balanced_min") <= F.col("minmax_diff")).alias("better"))
 )
 
 
-def _by_batch():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("batch").orderBy("traj_id")
-
-
 query("permutation_inverse", with_sql("traj", body="SELECT uid, array_to_string(list(n ORDER BY k), ',') AS back FROM (SELECT uid, row_number() OVER (PARTITION BY uid ORDER BY len DESC, traj_id) - 1 AS n, row_number() OVER (PARTITION BY uid ORDER BY traj_id) - 1 AS k FROM traj) GROUP BY uid"))(
     lambda s, d: trajectories(s, d).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct(F.col("traj_id").alias("t"), F.col("len").alias("l")))).alias("a"))
     .withColumn("o", F.transform(F.array_sort(F.transform("a", lambda x, i: F.struct((-x["l"]).alias("l"), x["t"].alias("t"), i.alias("i")))), lambda x: x["i"]))
