@@ -29,24 +29,14 @@ query("token_budget_batches", with_sql("traj", body=f", {_BATCH} SELECT batch, n
 query("rank_balance", with_sql("traj", body=f", {_BATCH} SELECT batch, n // 4 * 4 AS rows, CAST(4 AS BIGINT) AS parts, n // 4 AS most FROM z"))(
     lambda s, d: A.plan(_batches(s, d), "batch", "traj_id", "len", lambda n: A.ranks(n[: len(n) // 4 * 4], 4)).groupBy("batch", "part").count().groupBy("batch").agg(F.sum("count").alias("rows"), F.countDistinct("part").alias("parts"), F.max("count").alias("most"))
 )
-#: Groups are whole and as many in each part: their rows follow each other only if rows come by group, so the key is (uid, traj_id).
 query("group_balanced", with_sql("traj", body=f", {_BATCH}, u AS (SELECT batch, uid, row_number() OVER (PARTITION BY batch ORDER BY uid) AS k FROM (SELECT DISTINCT batch, uid FROM b)), t AS (SELECT u.* FROM u JOIN z USING (batch) WHERE k <= users // 3 * 3) SELECT batch, count(*) AS users, CAST(3 AS BIGINT) AS parts, count(*) // 3 AS most FROM t GROUP BY batch"))(
     lambda s, d: (
-        A.plan(_batches(s, d).withColumn("row", F.col("uid") * 10_000_000 + F.col("traj_id")), "batch", "row", "len", _three_parts, "uid")
-        .withColumn("uid", F.floor(F.col("row") / 10_000_000)).groupBy("batch", "uid").agg(F.min("part").alias("part"), F.countDistinct("part").alias("split"))
+        (df := _batches(s, d)).join(A.group_plan(df, "batch", "uid", "len", 3), ["batch", "uid"]).groupBy("batch", "uid").agg(F.min("part").alias("part"), F.countDistinct("part").alias("split"))
         .where("split = 1").groupBy("batch", "part").count().groupBy("batch").agg(F.sum("count").alias("users"), F.count(F.lit(1)).alias("parts"), F.max("count").alias("most"))
     )
 )
 
 
-def _three_parts(lengths, groups):
-    """Parts of the first groups, as many as make three parts of one size."""
-    known = sorted(set(groups))
-    known = set(known[: len(known) // 3 * 3])
-    n = sum(g in known for g in groups)
-    return A.whole_groups(lengths[:n], groups[:n], 3)
-
-
 query(
     "seqlen_unbalance",
     with_sql("traj", body=f", {_BATCH}, i AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY traj_id) - 1 AS i FROM b), c AS (SELECT i.batch, i.i // (z.n // 4) AS c, sum(len) AS s FROM i JOIN z USING (batch) GROUP BY 1, 2), q AS (SELECT batch, min(s) AS lo, max(s) AS hi FROM c GROUP BY batch) SELECT batch, CAST(lo AS BIGINT) AS min, CAST(hi AS BIGINT) AS max, CAST(hi - lo AS BIGINT) AS minmax_diff, {r('tokens / 4', 'mean')}, true AS better FROM q JOIN z USING (batch)"),
