@@ -27,7 +27,7 @@ query("token_budget_batches", with_sql("traj", body=f", {_BATCH} SELECT batch, n
     lambda s, d: _summary(df := _batches(s, d), A.micro_batch_plan(df, "batch", "traj_id", "len", 2000, divisor=2))
 )
 query("rank_balance", with_sql("traj", body=f", {_BATCH} SELECT batch, n // 4 * 4 AS rows, CAST(4 AS BIGINT) AS parts, n // 4 AS most FROM z"))(
-    lambda s, d: A.plan(_batches(s, d), "batch", "traj_id", "len", lambda n: A.ranks(n[: len(n) // 4 * 4], 4)).groupBy("batch", "part").count().groupBy("batch").agg(F.sum("count").alias("rows"), F.countDistinct("part").alias("parts"), F.max("count").alias("most"))
+    lambda s, d: A.rank_plan(A.trimmed(_batches(s, d), "batch", "traj_id", 4), "batch", "traj_id", "len", 4).groupBy("batch", "part").count().groupBy("batch").agg(F.sum("count").alias("rows"), F.countDistinct("part").alias("parts"), F.max("count").alias("most"))
 )
 query("group_balanced", with_sql("traj", body=f", {_BATCH}, u AS (SELECT batch, uid, row_number() OVER (PARTITION BY batch ORDER BY uid) AS k FROM (SELECT DISTINCT batch, uid FROM b)), t AS (SELECT u.* FROM u JOIN z USING (batch) WHERE k <= users // 3 * 3) SELECT batch, count(*) AS users, CAST(3 AS BIGINT) AS parts, count(*) // 3 AS most FROM t GROUP BY batch"))(
     lambda s, d: (
