@@ -3,15 +3,24 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship, stored
 from . import balancing
+from .batch import ROW, with_row_index
 from .folding import folded_words
 from .scoring import phrase_at
 
 
+#: Rows of a run that greedy_balance() deals in one task, and costs that it packs into a value.
+RUN, PACKED = 20_000, 1000
+
+
 def quotas(total: int, share: float) -> tuple[int, int]:
     """Rows of the first and of the second class: a rounded share (halves to even), at least one row each."""
     first = min(max(round(total * share), 1), total - 1)
@@ -158,10 +167,54 @@ def greedy(costs: list[int], k: int) -> list[int]:
     return out
 
 
-def balance(df: DataFrame, key: str, cost: str, k: int, method=differencing, limit: int = 1_000_000) -> DataFrame:
-    """Column part. Plans one training batch on the driver from (key, cost); more rows than the limit fail."""
-    rows = df.select(key, cost).orderBy(key).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} rows are no batch")
-    plan = [(r[0], p) for r, p in zip(rows, method([int(r[1]) for r in rows], k))]
-    return df.join(df.sparkSession.createDataFrame(plan, f"{key} long, part int"), key)
+def balance(df: DataFrame, key: str, cost: str, k: int) -> DataFrame:
+    """Column part: all rows in k parts by largest differencing, in pieces if they are many (balancing.spread)."""
+    planned = balancing.spread(df.select(key, cost, F.lit(0).alias("_all")), "_all", key, F.col(cost).cast("long"), k, full=False)
+    return df.join(planned.select(key, "part"), key)
+
+
+def greedy_from(costs: list[int], loads: list[int]) -> list[int]:
+    """greedy() on parts that hold something already; loads are brought up to date."""
+    heap, out = [(s, j) for j, s in enumerate(loads)], []
+    heapq.heapify(heap)
+    for c in costs:
+        s, j = heap[0]
+        heapq.heapreplace(heap, (s + c, j))
+        out.append(j)
+    for s, j in heap:
+        loads[j] = s
+    return out
+
+
+def greedy_balance(df: DataFrame, key: str, cost: str, k: int) -> DataFrame:
+    """Column part: rows in order of key, each to the part that is lightest then; exactly what greedy() does with all of them.
+
+    Each choice depends on all before it, so the costs alone, packed, pass through one task as a stream that
+    keeps k loads and tells them at the start of each run of RUN rows; from there the runs are dealt side by side.
+    """
+    ship(df.sparkSession)
+    kind = df.schema[key].dataType.simpleString()
+    rows = with_row_index(df.select(key, F.col(cost).cast("long").alias("_cost")), key).withColumn("_run", F.expr(f"{ROW} div {RUN}"))
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        costs, run = frame.sort_values(ROW)["_cost"].to_numpy("int64"), int(frame["_run"].iloc[0])
+        return pd.DataFrame([(run, at, costs[at : at + PACKED].tobytes()) for at in range(0, len(costs), PACKED)], columns=["_run", "_at", "costs"])
+
+    def starts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loads = [0] * k
+        for frame in frames:
+            out = []
+            for run, at, costs in zip(frame["_run"], frame["_at"], frame["costs"]):
+                if not at:
+                    out.append((run, list(loads)))
+                greedy_from(np.frombuffer(costs, "int64").tolist(), loads)
+            yield pd.DataFrame(out, columns=["_run", "loads"])
+
+    def deal(frame: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(ROW)
+        return pd.DataFrame({key: frame[key], "part": greedy_from(frame["_cost"].tolist(), [int(x) for x in start["loads"].iloc[0]])})
+
+    packed = rows.groupBy("_run").applyInPandas(pack, "_run long, _at long, costs binary")
+    loads = stored(packed.repartition(1).sortWithinPartitions("_run", "_at").mapInPandas(starts, "_run long, loads array<long>"), "loads")
+    planned = rows.groupBy("_run").cogroup(loads.groupBy("_run")).applyInPandas(deal, f"{key} {kind}, part int")
+    return df.join(planned, key)

@@ -20,7 +20,7 @@ query("role_rewrite", "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'human'
     lambda s, d: table(s, d, "conversations").select("conv_id", "turn", S.rename_roles(F.col("role"), {"user": "human", "assistant": "gpt", "system": "system"}).alias("role"))
 )
 query("kk_partition")(lambda s, d: S.balance(trajectories(s, d).select("traj_id", "len"), "traj_id", "len", 8))
-query("greedy_partition")(lambda s, d: S.balance(trajectories(s, d).select("traj_id", "len"), "traj_id", "len", 8, S.greedy))
+query("greedy_partition")(lambda s, d: S.greedy_balance(trajectories(s, d).select("traj_id", "len"), "traj_id", "len", 8))
 
 # Questions with names of a country and choices added, answers of countries (with accents and capitals) and of the text's own words.
 _Q = """concat_ws(' ', text, CASE doc_id % 5 WHEN 0 THEN 'by a BRAZILIAN of São Paulo' WHEN 1 THEN 'in ﬁelds of Méxicans, Mexican or not' WHEN 2 THEN 'Rome or Ávila' WHEN 3 THEN 'New-Zealander' END)"""

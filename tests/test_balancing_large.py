@@ -84,3 +84,15 @@ def test_groups_stay_whole_whatever_their_keys(spark, pieces):
     assert sorted(got) == list(range(699)) and [list(got.values()).count(j) for j in range(3)] == [233] * 3
     sums = [sum(A.cost_of(n) for _, g, _, n in rows if got.get(g) == j) for j in range(3)]
     assert max(sums) - min(sums) <= 3 * A.cost_of(350)
+
+
+def test_balance_of_many_rows(spark, pieces, monkeypatch):
+    monkeypatch.setattr(S, "RUN", 100)
+    monkeypatch.setattr(S, "PACKED", 30)
+    rows = [(i, n) for _, i, n in _rows(1500, 1)]
+    df = spark.createDataFrame(rows, "id long, len int").repartition(7)
+    got = {r["id"]: r["part"] for r in S.greedy_balance(df, "id", "len", 8).collect()}
+    assert [got[i] for i, _ in rows] == S.greedy([n for _, n in rows], 8)
+    got = {r["id"]: r["part"] for r in S.balance(df, "id", "len", 8).collect()}
+    sums = [sum(n for i, n in rows if got[i] == j) for j in range(8)]
+    assert len(got) == 1500 and max(sums) - min(sums) <= 10
