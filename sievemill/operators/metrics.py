@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from . import tokens as T
 
+#: Drawn values that a task holds at once.
+CELLS = 1 << 18
+
 
 def spread(c: Column, name: str) -> list[Column]:
     return [F.avg(c).alias(f"{name}_mean"), F.max(c).alias(f"{name}_max"), F.min(c).alias(f"{name}_min")]
@@ -129,45 +135,70 @@ def majority(df: DataFrame, group: list[str], vote: str, value: str, order: str
     return best.select(*group, F.col("b.p").alias(vote), F.col("b.v").alias(value), "b.votes")
 
 
-def resample_table(spark: SparkSession, sizes: list[int], draws: int, seed: int) -> DataFrame:
-    """n, subset, idx: for n responses and each subset size the drawn positions, the same for every group of n.
+@cache
+def drawn_positions(n: int, subset: int, draws: int, seed: int) -> np.ndarray:
+    """draws x subset positions among n responses, the same for every group of n."""
+    return np.random.RandomState(seed).choice(n, size=(draws, subset), replace=True)
+
 
-    Its rows are the distinct group sizes times their powers of two; each holds draws x subset positions.
+def resampled(values: np.ndarray, null: np.ndarray, votes: np.ndarray | None, subset: int, draws: int, seed: int) -> list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """(kind, mean, deviation, whether a draw has no value) of the draws of groups of one size, a row each; null values are passed over.
+
+    votes: the position at which a row's vote is first seen. NaN is more than any number.
     """
-    rows = []
-    for n in sorted(set(sizes)):
-        for subset in powers(n)[1:]:
-            rows.append((n, subset, np.random.RandomState(seed).choice(n, size=(draws, subset), replace=True).tolist()))
-    return spark.createDataFrame(rows, "n_resp int, subset int, idx array<array<int>>")
+    groups, n = values.shape
+    at = drawn_positions(n, subset, draws, seed)
+    got = values[:, at]
+    if null.any():
+        gone = null[:, at]
+        none = gone.all(-1)
+        kinds = {"best": (np.where(gone, -np.inf, got).max(-1), none), "worst": (np.fmin.reduce(np.where(gone, np.nan, got), axis=-1), none)}
+    else:
+        gone = none = np.zeros((groups, 1, 1), bool)
+        kinds = {"best": (got.max(-1), none), "worst": (np.fmin.reduce(got, axis=-1), none)}
+    if votes is not None:
+        said = votes[:, at].reshape(-1, subset)
+        rows = np.arange(len(said))
+        counts = np.bincount((rows[:, None] * n + said).ravel(), minlength=len(said) * n).reshape(-1, n)
+        first = np.take_along_axis(counts, said, 1).argmax(1)
+        taken = lambda x: x.reshape(-1, subset)[rows, first].reshape(groups, draws)
+        kinds["maj"] = taken(got), taken(gone) if null.any() else none
+    return [(k, x.mean(1), x.std(1), void.reshape(groups, -1).any(1)) for k, (x, void) in kinds.items()]
 
 
 def validation_metrics(df: DataFrame, key: list[str], value: str = "value", vote: str | None = None, draws: int = 1000, seed: int = 42, order: str = "n") -> DataFrame:
     """source, metric, value: means over prompts of mean@N, std@N and resampled best@n, worst@n and maj@n, mean and deviation.
 
-    key: the source, then the prompt. Deviations are over the population. Drawn positions depend only on the size of a group, so one table of
-    them joins to all groups; the draws stay arrays within the row and multiply no rows. The group sizes come to the driver, a
-    few numbers. A group's responses are one row: responses of one prompt, never a corpus.
+    key: the source, then the prompt. Deviations are over the population. Drawn positions depend only on the size of a group, so a task
+    draws them once for each size and takes many groups at once; the draws multiply no rows and stay in the task. A group's
+    responses are one row: responses of one prompt, never a corpus.
     """
+    ship(df.sparkSession)
     names = [order, value] + ([vote] if vote else [])
     groups = df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("rows")).withColumn("n_resp", F.size("rows"))
     groups = groups.withColumn("values", F.transform("rows", lambda x: x[value].cast("double")))
     if vote:  # a vote as the position at which it is first seen
         cast = F.transform("rows", lambda x: F.coalesce(x[vote].cast("string"), F.lit("\0")))
-        groups = groups.withColumn("votes", F.transform(cast, lambda x: F.array_position(cast, x)))
-    sizes = [r[0] for r in groups.select("n_resp").distinct().collect()]
-    drawn = groups.join(resample_table(df.sparkSession, sizes, draws, seed), "n_resp")
+        groups = groups.withColumn("votes", F.transform(cast, lambda x: F.array_position(cast, x) - 1))
     v = F.col("values")
-    pick = lambda a, ix: F.transform(ix, lambda i: F.get(a, i))
-
-    def commonest(ix: Column) -> Column:
-        votes = pick(F.col("votes"), ix)
-        counts = F.transform(votes, lambda a: F.size(F.filter(votes, lambda b: a == b)))
-        return F.get(pick(v, ix), (F.array_position(counts, F.array_max(counts)) - 1).cast("int"))
+    source = df.schema[key[0]].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column(1).to_numpy()
+            for n in np.unique(size):
+                block = max(1, CELLS // (draws * int(n)))
+                rows = np.flatnonzero(size == n)
+                for some in (rows[i : i + block] for i in range(0, len(rows), block)):
+                    part = batch.take(pa.array(some))
+                    flat = part.column(2).flatten()
+                    values, null = flat.to_numpy(zero_copy_only=False).reshape(-1, n), flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, n)
+                    votes = part.column(3).flatten().to_numpy().reshape(-1, n) if vote else None
+                    for subset in powers(int(n))[1:]:
+                        for kind, mean, std, void in resampled(values, null, votes, subset, draws, seed):
+                            for tail, x in (("mean", mean), ("std", std)):
+                                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f"{kind}@{subset}/{tail}"] * len(x), pa.string()), pa.array(x, mask=void)], names=[key[0], "metric", "value"])
 
-    kinds: dict[str, Callable[[Column], Column]] = {"best": lambda ix: F.array_max(pick(v, ix)), "worst": lambda ix: F.array_min(pick(v, ix))}
-    if vote:
-        kinds["maj"] = commonest
-    reduced = drawn.select(*key, "subset", *[F.transform("idx", f).alias(k) for k, f in kinds.items()])
     avg = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
     def std(a: Column) -> Column:
@@ -176,11 +207,13 @@ def validation_metrics(df: DataFrame, key: list[str], value: str = "value", vote
         return F.sqrt(F.greatest(sums, F.lit(0.0)))
 
     entry = lambda label, x: F.struct(label.alias("metric"), x.alias("value"))
-    at = lambda kind, n, tail="": F.concat(F.lit(f"{kind}@"), n.cast("string"), F.lit(tail))
-    plain = groups.select(key[0], F.explode(F.array(entry(at("mean", F.col("n_resp")), avg(v)), entry(at("std", F.col("n_resp")), F.when(F.col("n_resp") > 1, std(v))))).alias("m"))
-    boot = reduced.select(key[0], "subset", *[F.struct(avg(F.col(k)).alias("mean"), std(F.col(k)).alias("std")).alias(k) for k in kinds])
-    boot = boot.select(key[0], F.explode(F.array(*[entry(at(k, F.col("subset"), f"/{s}"), F.col(f"{k}.{s}")) for k in kinds for s in ("mean", "std")])).alias("m"))
-    return plain.unionByName(boot).where("m.value IS NOT NULL").groupBy(key[0], "m.metric").agg(F.avg("m.value").alias("value"))
+    at = lambda kind, n: F.concat(F.lit(f"{kind}@"), n.cast("string"))
+    plain = groups.select(key[0], F.explode(F.array(entry(at("mean", F.col("n_resp")), avg(v)), entry(at("std", F.col("n_resp")), F.when(F.col("n_resp") > 1, std(v))))).alias("m")).select(key[0], "m.*")
+    # A number of its own, since adaptive execution would put the few bytes of much work into one task.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    able = groups.where("n_resp > 1").repartition(tasks, F.xxhash64(*key)).select(key[0], "n_resp", "values", *(["votes"] if vote else []))
+    boot = able.mapInArrow(run, f"{key[0]} {source}, metric string, value double")
+    return plain.unionByName(boot).where("value IS NOT NULL").groupBy(key[0], "metric").agg(F.avg("value").alias("value"))
 
 
 def core_or_aux(df: DataFrame, core: str) -> DataFrame:
