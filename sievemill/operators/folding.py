@@ -39,10 +39,12 @@ def folded(text: Column) -> Column:
     characters, to, more = _tables()
     several = F.lit(f"[{''.join(more)}]")
     folds = F.create_map(*[F.lit(x) for kv in more.items() for x in kv])
-    whole = lambda t: F.aggregate(F.array_distinct(F.regexp_extract_all(t, several, F.lit(0))), t, lambda s, c: F.replace(s, c, folds[c]))
-    # In an array of one, so that the text is translated once and not wherever it is named.
-    plain = F.array(F.translate(F.coalesce(text, F.lit("")), characters, to))
-    return F.transform(plain, lambda t: F.when(F.rlike(t, several), whole(t)).otherwise(t))[0]
+    # A class of so many characters is slow, so it is tried on what is not ASCII only, and plain texts only lose their capitals.
+    strange = lambda t: F.regexp_replace(t, r"[\x00-\x7f]+", "")
+    whole = lambda t: F.aggregate(F.array_distinct(F.regexp_extract_all(strange(t), several, F.lit(0))), t, lambda s, c: F.replace(s, c, folds[c]))
+    # In arrays of one, so that each step is done once and not wherever it is named.
+    other = lambda t: F.transform(F.array(F.translate(t, characters, to)), whole)[0]
+    return F.transform(F.array(F.coalesce(text, F.lit(""))), lambda t: F.when(F.rlike(t, F.lit(r"[^\x00-\x7f]")), other(t)).otherwise(F.lower(t)))[0]
 
 
 def folded_words(text: Column) -> Column:

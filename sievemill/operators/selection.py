@@ -118,13 +118,18 @@ def leakage_reason(question: Column, answer: Column, kind: Column, phrases: Colu
 
     def reason(row: Column) -> Column:
         q, a = row["q"], row["a"]
-        at = phrase_at(q, a)
         near = lambda i: F.slice(q, F.greatest(i - 4, F.lit(0)) + 1, F.least(i, F.lit(4)) + F.size(a) + 4)
-        choice = F.exists(at, lambda i: F.array_contains(near(i), "or") | F.array_contains(near(i), "and"))
-        exempt = row["compares"] | (F.size(a) == 0) | a.isin(F.array(F.lit("yes")), F.array(F.lit("no"))) | choice
+
+        def judged(t: Column) -> Column:
+            # Words hold no blanks, so the joined words tell whether the answer stands there; its places are sought in the few rows where it does.
+            choice = F.exists(phrase_at(q, a), lambda i: F.array_contains(near(i), "or") | F.array_contains(near(i), "and"))
+            exempt = row["compares"] | (F.size(a) == 0) | a.isin(F.array(F.lit("yes")), F.array(F.lit("no")))
+            called = F.exists(names[t["name"]] if phrases is None else row["p"], lambda p: F.contains(t["line"], F.concat(F.lit(" "), p, F.lit(" "))))
+            stands = F.contains(t["line"], F.concat(F.lit(" "), t["name"], F.lit(" ")))
+            return F.when(exempt, None).when(stands, F.when(~choice, "answer_in_question")).when(called, "country_demonym_in_question")
+
         line = F.concat(F.lit(" "), F.array_join(q, " "), F.lit(" "))
-        called = F.exists(names[F.array_join(a, " ")] if phrases is None else row["p"], lambda p: F.contains(line, F.concat(F.lit(" "), p, F.lit(" "))))
-        return F.when(exempt, None).when(F.size(at) > 0, "answer_in_question").when(called, "country_demonym_in_question")
+        return F.transform(F.array(F.struct(line.alias("line"), F.array_join(a, " ").alias("name"))), judged)[0]
 
     compares = F.lower(F.trim(F.coalesce(kind, F.lit("")))) == "comparison"
     row = F.struct(folded_words(question).alias("q"), folded_words(answer).alias("a"), compares.alias("compares"), F.lit(None).cast("array<string>").alias("p") if phrases is None else phrases.alias("p"))
