@@ -10,9 +10,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 TOKEN = "[a-z0-9]+|[\\u3400-\\u9fff]"
-#: Bytes of queries that are broadcast at once, scores that a task holds at once, and queries that words are looked up for at once.
-BLOCK_BYTES, SCORES, QUERIES = 32 << 20, 1 << 21, 1 << 16
+#: Bytes of queries that are broadcast at once, scores that a task holds at once (by words, by vectors), and queries that words are looked up for at once.
+BLOCK_BYTES, SCORES, CELLS, QUERIES = 8 << 20, 1 << 21, 1 << 19, 1 << 16
 #: Words that no index and no query holds.
 STOP_WORDS = "a an and are as at be by did do does for from has have how in is it of on or that the to was were what when where which who with".split()
 
@@ -98,9 +100,11 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The best k of vectors(doc_id, v) for each of queries(query_id, q) by inner product in double precision.
 
     Queries go in blocks of at most BLOCK_BYTES, split by the hash of their id. A block is broadcast as a matrix, one scan
-    of the vectors multiplies with it and keeps k rows per query and task, and the best k of all tasks stay; vectors are
+    of the vectors multiplies with it, a tile of queries and rows with at most CELLS scores at a time, and keeps k rows per
+    query and task; only scores that reach a query's k-th best so far are sorted. The best k of all tasks stay; vectors are
     never shuffled. Null vectors, vectors that hold a null and those of another width than the widest query take no part.
     """
+    ship(vectors.sparkSession)
     whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())
     asked = queries.where(F.col("query_id").isNotNull() & whole("q")).select("query_id", F.col("q").cast("array<double>").alias("q"))
     n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
@@ -111,30 +115,58 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return rank(reduce(DataFrame.unionByName, parts), k)
 
 
+def _best(best, docs, score, fresh, k: int):
+    """(scores, docs): for each query the k best of those held and of new ones; score has a column for each of fresh. NaN comes first, as Spark sorts it."""
+    import numpy as np
+
+    if best.shape[1] == k:
+        limit = np.round(best[:, -1], 9)
+        row, col = np.nonzero(~(score < (limit - 1e-9 - 1e-14 * np.abs(limit))[:, None]))
+        new = np.round(score[row, col], 9)
+        near = np.isnan(new) | (new > limit[row]) | ((new == limit[row]) & (fresh[col] < docs[row, -1]))
+        row, col = row[near], col[near]
+    else:
+        row, col = np.nonzero(np.ones(score.shape, bool))
+    if not len(row):
+        return best, docs
+    asked, held = np.unique(row), best.shape[1]
+    query = np.concatenate([np.repeat(asked, held), row])
+    s, d = np.concatenate([best[asked].ravel(), score[row, col]]), np.concatenate([docs[asked].ravel(), fresh[col]])
+    order = np.lexsort((d, -np.round(s, 9), ~np.isnan(s), query))
+    start = np.searchsorted(query[order], asked)
+    top = order[np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order)))) < k]
+    s, d = s[top].reshape(len(asked), -1), d[top].reshape(len(asked), -1)
+    if len(asked) == len(best):
+        return s, d
+    best[asked], docs[asked] = s, d
+    return best, docs
+
+
 def _dense_block(rows: DataFrame, block: DataFrame, k: int, width: int) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in (*rows.schema, *block.schema)}
     got = block.toArrow()
-    sent = rows.sparkSession.sparkContext.broadcast((got["query_id"].to_numpy(), got["q"].combine_chunks().flatten().to_numpy().reshape(-1, width or 1)))
-    most = SCORES
+    sent = rows.sparkSession.sparkContext.broadcast((got["query_id"].to_numpy(), got["q"].combine_chunks().flatten().to_numpy().reshape(len(got), width)))
+    most, tile = CELLS, max(1, CELLS // max(256, 4 * k))
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         ids, q = sent.value
-        best, docs = np.full((len(ids), 0), 0.0), None
+        held, seen = {}, 0  # by first query: the best of a tile of queries
         for batch in batches:
-            v = batch.column(1).flatten().to_numpy().reshape(len(batch), -1) if len(ids) else np.zeros((0, 1))
-            names = batch.column(0).to_numpy()
-            step = max(1, most // max(1, len(ids)))
-            for at in range(0, len(v), step):
-                score = np.hstack([best, q @ v[at : at + step].T])
-                fresh = np.broadcast_to(names[at : at + step], (len(ids), len(names[at : at + step])))
-                known = fresh if docs is None else np.hstack([docs, fresh])
-                first = np.lexsort((known, -np.round(score, 9)), axis=-1)[:, :k]
-                best, docs = np.take_along_axis(score, first, 1), np.take_along_axis(known, first, 1)
-        if docs is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, docs.shape[1])), pa.array(docs.ravel()), pa.array(best.ravel())], names=["query_id", "doc_id", "score"])
+            v, names = batch.column(1).flatten().to_numpy().reshape(len(batch), width), batch.column(0).to_numpy()
+            for t in range(0, len(ids) if len(v) else 0, tile):
+                asked, at = q[t : t + tile], 0
+                best, docs = held.get(t) or (np.zeros((len(asked), 0)), np.zeros((len(asked), 0), names.dtype))
+                while at < len(v):
+                    step = min(most // len(asked), max(k, seen + at))  # few rows first: there is no limit yet that a score has to reach
+                    best, docs = _best(best, docs, asked @ v[at : at + step].T, names[at : at + step], k)
+                    at += step
+                held[t] = best, docs
+            seen += len(v)
+        for t, (best, docs) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[t : t + tile], docs.shape[1])), pa.array(docs.ravel()), pa.array(best.ravel())], names=["query_id", "doc_id", "score"])
 
     return rows.mapInArrow(run, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double")
 
