@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from ..session import ship, work_dir
 from .retrieval import STOP_WORDS, TOKEN, rank, terms
 
-#: Scores that a task holds at once, queries that meet a shard at once, shards that a query is scored in first.
-SCORES, QUERIES, FIRST = 1 << 20, 1 << 14, 2
+#: Scores that a task holds at once, queries that meet a shard at once, shards that a query is scored in first, documents whose words are counted at once.
+SCORES, QUERIES, FIRST, PIECE = 1 << 20, 1 << 14, 2, 256
 #: A full-text index's words: letters and digits of any script.
 LETTERS = r"[\p{L}\p{N}]+"
 _META = "n long, length double, k1 double, b double, shards long, buckets long, kind string"
@@ -49,33 +49,40 @@ def build(docs: DataFrame, path: str, fields: dict[str, float], token: str = TOK
     rows = docs.where(F.col("doc_id").isNotNull())
     shards = max(1, -(-rows.count() // shard_docs))
     rows = rows.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), *[_tokens(F.col(c), token, stop).alias(f"f{i}") for i, c in enumerate(fields)])
-    counts, weights = len(fields), list(fields.values())
+    counts, weights, piece = len(fields), list(fields.values()), PIECE
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def blocks(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        n, size, words, place, count = len(whole), 0, [], [], []
+    def counted(part: pa.RecordBatch, before: int) -> tuple:
+        """(ids, sizes, for each field its words, and word, document and weight of each pair of them) of some documents of a shard, `before` of which were counted."""
+        size, pairs = 0, []
         for i in range(counts):
-            column = whole.column(2 + i)
+            column = part.column(2 + i)
             length = column.value_lengths().to_numpy(zero_copy_only=False)
             size = size + length
-            words.append(column.flatten())
-            place.append(np.repeat(np.arange(n), length))
-            count.append(np.full(int(length.sum()), weights[i]))
-        size, place = np.maximum(size, least), np.concatenate(place)
-        coded = pa.chunked_array(words).combine_chunks().dictionary_encode()
-        key, at = np.unique(coded.indices.to_numpy().astype(np.int64) * n + place, return_inverse=True)
-        tf = np.bincount(at, np.concatenate(count), len(key))
+            coded = column.flatten().dictionary_encode()
+            key, times = np.unique(coded.indices.to_numpy().astype(np.int64) * len(part) + np.repeat(np.arange(len(part)), length), return_counts=True)
+            pairs.append((coded.dictionary, (key // len(part)).astype(np.int32), (key % len(part) + before).astype(np.int32), times * float(weights[i])))
+        return part.column(0).take(pa.array(np.arange(len(part)))), np.maximum(size, least), pairs  # a copy, so that the batch can go
+
+    def blocks(held: list[tuple], shard: int) -> pa.RecordBatch:
+        ids, size, pairs = pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held]), [p for h in held for p in h[2]]
+        n, cut = len(ids), np.cumsum([0] + [len(p[0]) for p in pairs])
+        coded = pa.concat_arrays([p[0] for p in pairs]).dictionary_encode()
+        of = coded.indices.to_numpy()
+        key, tf = np.concatenate([of[c:][p[1]].astype(np.int64) * n + p[2] for c, p in zip(cut, pairs, strict=False)]), np.concatenate([p[3] for p in pairs])
+        order = np.argsort(key, kind="stable")
+        key, tf = key[order], tf[order]
+        first = np.flatnonzero(np.append(True, np.diff(key) != 0)) if len(key) else np.zeros(0, np.int64)
+        key, tf = key[first], np.add.reduceat(tf, first) if len(key) else tf  # a word may stand in several fields
         code, doc = key // n, key % n
         edge = np.append(np.flatnonzero(np.append(True, np.diff(code) != 0)), len(code)) if len(code) else np.zeros(1, np.int64)
         edges = pa.array(np.append(edge, edge[-1] + 1).astype(np.int32))  # the last row, without a term, has the shard's totals
         names = pc.take(coded.dictionary, pa.array(code[edge[:-1]])).cast(pa.string()) if len(code) else pa.array([], pa.string())
-        ids = whole.column(0).take(pa.array(np.append(doc, 0)))
-        lists = [pa.ListArray.from_arrays(edges, x) for x in (ids, pa.array(np.append(tf, float(n))), pa.array(np.append(size[doc], size.sum()).astype(np.int64)))]
-        return pa.RecordBatch.from_arrays([pa.concat_arrays([names, pa.array([None], pa.string())]), pa.array([whole.column(1)[0].as_py()] * len(edge), pa.int64()), *lists], names=["term", "shard", "docs", "tf", "len"])
+        lists = [pa.ListArray.from_arrays(edges, x) for x in (ids.take(pa.array(np.append(doc, 0))), pa.array(np.append(tf, float(n))), pa.array(np.append(size[doc], size.sum()).astype(np.int64)))]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([names, pa.array([None], pa.string())]), pa.array([shard] * len(edge), pa.int64()), *lists], names=["term", "shard", "docs", "tf", "len"])
 
     def run(batches):
-        held, shard = [], None
+        held, shard, n = [], None, 0
         for batch in batches:
             shard_of = batch.column(1).to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(shard_of)) + 1).tolist(), len(shard_of)]
@@ -83,12 +90,14 @@ def build(docs: DataFrame, path: str, fields: dict[str, float], token: str = TOK
                 if a == z:
                     continue
                 if held and shard_of[a] != shard:
-                    yield blocks(held)
-                    held = []
-                shard = shard_of[a]
-                held.append(batch.slice(a, z - a))
+                    yield blocks(held, shard)
+                    held, n = [], 0
+                shard = int(shard_of[a])
+                for at in range(a, z, piece):
+                    held.append(counted(batch.slice(at, min(piece, z - at)), n))
+                    n += len(held[-1][0])
         if held:
-            yield blocks(held)
+            yield blocks(held, shard)
 
     schema = f"term string, shard long, docs array<{kind}>, tf array<double>, len array<long>"
     raw = f"{path}/raw"
@@ -190,10 +199,14 @@ def _scored(index: DataFrame, wanted: DataFrame, k: int, parts: int) -> DataFram
         for lo in range(0, len(unique), step):
             hi = min(lo + step, len(unique))
             a, z = np.searchsorted(at, lo), np.searchsorted(at, hi)
-            n = size[code[a:z]]
-            row = np.repeat(start[code[a:z]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            cell = np.repeat((at[a:z] - lo) * len(ids), n) + doc[row]
-            score = np.bincount(cell, np.repeat(weight[a:z], n) * share[row], (hi - lo) * len(ids)).reshape(hi - lo, -1)
+            # Pairs of a query's word and a document that has it, a quarter of the scores at once.
+            cuts = [a, *(a + 1 + np.flatnonzero(np.diff(np.cumsum(size[code[a:z]]) // max(1, most // 4)))).tolist(), z]
+            score = np.zeros((hi - lo) * len(ids))
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                n = size[code[x:y]]
+                row = np.repeat(start[code[x:y]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                score += np.bincount(np.repeat((at[x:y] - lo) * len(ids), n) + doc[row], np.repeat(weight[x:y], n) * share[row], len(score))
+            score = score.reshape(hi - lo, -1)
             top = np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, :k]  # equal scores: the smaller id, which comes first
             best = np.take_along_axis(score, top, 1)
             q, j = np.nonzero(best > 0)
