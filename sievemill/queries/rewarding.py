@@ -76,4 +76,7 @@ query(
     "braced_calls",
     f"""SELECT conv_id, turn, text AS content, CASE WHEN turn % 3 = 0 THEN NULL ELSE 'find' END AS name,
         CASE WHEN turn % 3 = 0 THEN NULL ELSE '{{"id": ' || conv_id || ', "who": "' || role || ', {{x}}", "all": true, "none": null, "rate": 0.5, "word": "as is"}}' END AS arguments FROM {_FROM}""",
-)(lambda s, d: _braced(s, d).select("conv_id", "turn", C.before_calls(F.col("made")).alias("content"), F.explode_outer(C.braced_calls(F.col("made"))).alias("c")).select("conv_id", "turn", "content", "c.name", "c.arguments"))
+)(
+    lambda s, d: _braced(s, d).withColumn("calls", C.braced_calls(F.col("made")))
+    .select("conv_id", "turn", C.before_calls(F.col("made"), F.col("calls")).alias("content"), F.explode_outer("calls").alias("c")).select("conv_id", "turn", "content", "c.name", "c.arguments")
+)
